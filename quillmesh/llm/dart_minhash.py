@@ -13,9 +13,11 @@ coordinate with the probability of their similarity.
 
 Links: texts with equal shingles are one class at once. Signatures are cut into bands; texts
 that agree on a band are compared, exactly and on whole texts, with the band's first text.
-Where a band's texts then still fall into several components, what can still be linked is
-compared too: 1 - J is a metric, so a text of similarity s to the first text can only reach
-0.8 with one whose similarity to it lies within 0.2. Components of the links are the classes.
+Where a band's texts then still fall into several components, a task takes the band (or two
+blocks of a large one) and tries its pairs across components, most equal signatures first;
+only pairs that join components leave the task and are compared exactly once more, so chains
+of edits of any length close up without a list of their pairs. Components of the links are
+the classes.
 The bands find a pair of similarity 0.8 with probability 1 - (1 - 0.8**rows)**bands.
 
 Defined results: null, empty and blank texts have no shingles and are classes of their own;
@@ -26,6 +28,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, joined, materialize, mix, pieces, shingle_hashes, span_hashes, texts_in, word_bounds
+from .common import joined, materialize, mix, pieces, shingle_hashes, span_hashes, texts_in, word_bounds
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -136,11 +139,8 @@ def _signed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, digest long, digest2 long, weight long, bands array<long>")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) with their exact similarity j, from the whole texts."""
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = Table(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")), "near-texts").df
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their exact similarity j, from the whole texts (id, t)."""
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("j", pa.float64())])
 
@@ -159,7 +159,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFra
     return rows.mapInArrow(run, "a long, b long, j double")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, block: int = 1024) -> DataFrame:
     """doc_id, class_id (the smallest id of its class), class_size, kept (one document of each class)."""
     signed = materialize(_signed(docs, text, key), "signed")
     same = signed.where("weight > 0").groupBy("digest", "digest2", "weight").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -168,15 +168,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
     banded = reps.select("rep", F.explode("bands").alias("band"))
     first = banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    hits = Table(banded.join(first, "band").where("rep <> a").select("band", "a", F.col("rep").alias("b")), "band-hits").df
-    judged = Table(_compared(hits.select("a", "b").distinct(), docs, text, key), "judged").df
+    shared = materialize(banded.join(first, "band").select("band", "a", F.col("rep").alias("b")), "shared-bands")
+    wanted = shared.select(F.col("b").alias("id")).distinct()
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).join(wanted, "id", "left_semi")
+    texts = materialize(texts.groupBy("id").agg(F.min("t").alias("t")), "near-texts")
+
+    judged = materialize(_compared(shared.where("a <> b").select("a", "b").distinct(), texts), "judged")
     links = judged.where(F.col("j") >= threshold).select("a", "b")
     roots = components(links)
-
-    rest = _rest(hits, judged, roots, threshold)
-    if rest.limit(1).count():
-        more = Table(_compared(rest, docs, text, key), "judged-rest").df.where(F.col("j") >= threshold).select("a", "b")
-        roots = components(links.union(more))
+    open_ = _open(shared, roots)
+    found = materialize(_linked_inside(open_, texts, threshold, block).distinct(), "inside-bands")
+    if found.limit(1).count():
+        links = links.union(materialize(_compared(found, texts), "judged-inside").where(F.col("j") >= threshold).select("a", "b"))
+        roots = components(links)
     classes = (
         member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
         .union(signed.where("weight = 0").select("doc_id", F.col("doc_id").alias("class_id")).distinct())
@@ -186,14 +190,121 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     return classes.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-def _rest(hits: DataFrame, judged: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one band in different components that the first text's similarities don't exclude."""
-    seen = hits.join(judged, ["a", "b"]).join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("band", "a", "b", "j", F.coalesce("root", "b").alias("root"))
-    open_ = seen.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    left = Table(seen.join(open_, "band"), "open-bands").df
-    step = 1.0 - threshold
-    x = left.select("band", "b", "j", "root", F.floor(F.col("j") / step).alias("slot"))
-    y = left.select("band", F.col("b").alias("b2"), F.col("j").alias("j2"), F.col("root").alias("root2"), F.explode(F.array(*[F.floor(F.col("j") / step) + d for d in (-1, 0, 1)])).alias("slot"))
-    pairs = x.join(y, ["band", "slot"]).where((F.col("b") < F.col("b2")) & (F.col("root") != F.col("root2")) & (F.abs(F.col("j") - F.col("j2")) <= step + 1e-9))
-    known = judged.select(F.col("a").alias("b"), F.col("b").alias("b2"))
-    return pairs.select("b", "b2").distinct().join(known, ["b", "b2"], "left_anti").select(F.col("b").alias("a"), F.col("b2").alias("b"))
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, b, root) of the bands whose texts fall into several components."""
+    rooted = shared.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("band", "b", F.coalesce("root", "b").alias("root"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n")
+    return materialize(rooted.join(several, "band"), "open-bands")
+
+
+def _least_agreement(k: int, threshold: float, lost: float = 1e-6) -> int:
+    """The count of equal coordinates that a pair at the threshold misses with this probability."""
+    total = 0.0
+    for c in range(k + 1):
+        total += math.comb(k, c) * threshold**c * (1 - threshold) ** (k - c)
+        if total > lost:
+            return c
+    return k
+
+
+def forest(ids: np.ndarray, roots: np.ndarray, side: np.ndarray, sig: np.ndarray, bands: np.ndarray, band: int, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between the components of one band's texts, as few as join what can be joined.
+
+    Pairs are tried from the most equal coordinates down to where a link is next to
+    impossible; a pair inside one component is passed over. A pair that shares several bands
+    is tried in the first of them only. ``side`` tells two blocks apart: pairs lie across
+    them, or inside if there is one.
+    """
+    least = _least_agreement(sig.shape[1], threshold)
+    column = np.argmax(bands == band, axis=1)
+    _, group = np.unique(roots, return_inverse=True)
+    two = side.min() != side.max()
+    rows = np.flatnonzero(side == side.min())
+    xs, ys, cs = [], [], []
+    for x in rows:
+        y = np.flatnonzero(side != side[x]) if two else np.arange(x + 1, len(ids))
+        y = y[group[y] != group[x]]
+        if len(y):
+            c = (sig[y] == sig[x]).sum(axis=1)
+            ok = c >= least
+            y, c = y[ok], c[ok]
+            if len(y):
+                ok = np.argmax(bands[y] == bands[x], axis=1) >= column[x]
+                xs.append(np.full(ok.sum(), x)), ys.append(y[ok]), cs.append(c[ok])
+    if not xs:
+        return []
+    a, b, c = np.concatenate(xs), np.concatenate(ys), np.concatenate(cs)
+    parent = list(range(group.max() + 1))
+
+    def find(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    out = []
+    for i in np.argsort(-c, kind="stable"):
+        x, y = int(a[i]), int(b[i])
+        gx, gy = find(group[x]), find(group[y])
+        if gx != gy and similarity(sets[x], sets[y]) >= threshold - 1e-4:
+            parent[gx] = gy
+            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+    return out
+
+
+def _linked_inside(open_: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs (a, b) that join components inside the open bands.
+
+    A band of more than ``block`` texts is dealt into blocks, and every two blocks meet in a
+    task of their own. Only joining pairs leave a task, fewer than it has texts.
+    """
+    described = pa.schema([("b", pa.int64()), ("sig", pa.binary()), ("own", pa.binary()), ("strips", pa.binary())])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t", 2 << 20):
+            bags = [np.sort(b) for b in shingles(texts_in(batch, "t"))]
+            sig = signatures(bags)
+            own = band_hashes(sig)
+            short = [np.unique((strips(b) >> np.uint64(32)).astype(np.uint32)).tobytes() for b in bags]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(short, pa.binary())], schema=described)
+
+    wanted = open_.select(F.col("b").alias("id")).distinct()
+    about = materialize(texts.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(describe, "b long, sig binary, own binary, strips binary"), "described")
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    dealt = open_.withColumn("mine", F.pmod(F.xxhash64("b", "band"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("k"), "mine", "b", "root").join(about, "b")
+    rows = dealt.select("band", "i", "k", "mine", "b", "root", "sig", "own", "strips").repartition("band", "i", "k").sortWithinPartitions("band", "i", "k", "b")
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def settle(band: int, held: list[tuple]) -> list[tuple[int, int]]:
+        mine, ids, roots, sig, own, sets = zip(*held, strict=True)
+        side = np.array(mine)
+        if len(ids) < 2 or len(set(roots)) < 2:
+            return []
+        return forest(np.array(ids), np.array(roots), side, np.stack([np.frombuffer(x, np.uint32) for x in sig]), np.stack([np.frombuffer(x, np.int64) for x in own]), band, [np.frombuffer(x, np.uint32) for x in sets], threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=pairs)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if held and (found := _when_due(key, held, settle)):
+                        yield out(found)
+                    key, held = row[:3], []
+                held.append(row[3:])
+        if held and (found := _when_due(key, held, settle)):
+            yield out(found)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _when_due(key: tuple, held: list[tuple], settle) -> list[tuple[int, int]]:
+    """A task of two blocks needs both; a task of one block has only its own rows."""
+    _, i, k = key
+    if i != k and len({h[0] for h in held}) < 2:
+        return []
+    return settle(key[0], held)
