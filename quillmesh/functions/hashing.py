@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _M32 = np.uint64(0xFFFFFFFF)
 #: The hash's seeds and multipliers.
@@ -37,6 +39,10 @@ def hash_texts(texts: list[str | None]) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
-def stable_hash(texts: pd.Series) -> pd.Series:
-    return pd.Series(hash_texts(texts.tolist()))
+def stable_hash(text: Column) -> Column:
+    """The hash as a column, by Arrow batches."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(hash_texts(texts.tolist()))
+
+    return F.pandas_udf(run, T.StringType())(text)
