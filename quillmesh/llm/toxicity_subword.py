@@ -9,8 +9,8 @@ shares most of its n-grams with the word it comes from, it shares most of its sc
 
 After training a word's contribution is one number (its embedding times the softmax's
 weights), so scoring is a lookup per word and a sliding mean. The model is trained on at most
-``max_docs`` labelled documents that are not held out, all toxic ones among the candidates
-first; the table has a fixed size.
+``max_docs`` labelled documents that are not held out (those with the smallest hashes of their
+ids); the table has a fixed size.
 
 Defined results: null, empty and blank texts get the score of an average of no words (the
 bias); labels that are null or without a text teach nothing; without both classes every score
@@ -132,8 +132,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 10, rate: float = 0.6, sharp: float = 2.0, seed: int = 11) -> Model:
-    """Adagrad on the documents' log loss; the first epochs look at softer maxima."""
+def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 10, least_batches: int = 200, rate: float = 0.6, sharp: float = 2.0, seed: int = 11) -> Model:
+    """Adagrad on the documents' log loss; the first epochs look at softer maxima, few documents get more epochs."""
     data, starts, ends, lines = words_of(texts)
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
     if not len(starts) or share < 2e-3 or share > 1 - 2e-3:
@@ -150,6 +150,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 10,
     p_at = np.searchsorted(p_doc, np.arange(len(texts) + 1))
     order = np.arange(len(texts))
     balance = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.8
+    epochs = max(epochs, min(40, -(-least_batches * 64 // len(order))))
     for epoch in range(epochs):
         tau = sharp * min(1.0, epoch / (0.4 * epochs))
         rng.shuffle(order)
@@ -200,7 +201,7 @@ def centred(model: Model, texts: list[str], labels: np.ndarray) -> Model:
 # ---------------------------------------------------------------- operator
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = 2500, text: str = "text", key: str = "doc_id") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = 4000, text: str = "text", key: str = "doc_id") -> Model:
     rows = sorted(sample(docs, labels, label, max_docs, text, key).collect(), key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))  # at most max_docs texts
     return train([r["text"] or "" for r in rows], np.array([float(r["label"] != 0) for r in rows]))
 
