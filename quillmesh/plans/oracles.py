@@ -208,4 +208,15 @@ p AS (SELECT *, greatest(max(recurrence_count) OVER (), 1)::DOUBLE AS mr, greate
 SELECT concept_id, label, session_count, {_round("least(1.0::DOUBLE, importance * 0.56::DOUBLE + recurrence_count / mr * 0.24::DOUBLE + session_count / ms * 0.2::DOUBLE + CASE WHEN nw >= 2 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END)", 4)} AS score
 FROM p WHERE length(key) >= 3 AND key NOT IN {_among(DISCOURAGED_LABELS)} AND NOT regexp_matches(key, '^[0-9]+$') AND nw BETWEEN 1 AND 6""",
     "q_session_raw_text": f"WITH {MESSAGES} SELECT session_id, string_agg(upper(coalesce(role, 'unknown')) || ': ' || substr(text, 1, 1200), chr(10) || chr(10) ORDER BY seq_in_session) AS text FROM messages GROUP BY session_id",
+    "q_retrieve_term": f"""WITH {CONCEPTS}, term AS (SELECT {_content('label')}[1] AS t FROM concepts WHERE rank = 1),
+hits AS (SELECT concept_id FROM concepts CROSS JOIN term WHERE list_contains({_content('label')}, t)),
+e AS (SELECT src, dst, weight FROM cooccur UNION ALL SELECT src, dst, weight FROM label_edges),
+two AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e),
+reached AS (SELECT concept_id, max(strength) AS strength FROM (SELECT concept_id, 1.0::DOUBLE AS strength FROM hits UNION ALL SELECT dst, weight FROM hits JOIN two ON src = concept_id) GROUP BY concept_id)
+SELECT chunk_id, {_round('max(score * strength)', 6)} AS score FROM links JOIN reached USING (concept_id) GROUP BY chunk_id""",
+    "q_artifact_version_list": f"""WITH {MESSAGES}, k AS (SELECT *, {_SHAPE} AS artifact_type, {_KIND} AS kind, {_content('text')} AS w FROM messages),
+l AS (SELECT *, CASE WHEN len(w) > 0 THEN array_to_string(list_slice(w, 1, CASE WHEN artifact_type = 'table' THEN 10 ELSE 12 END), ' ') ELSE substr(text, 1, 80) END AS raw FROM k WHERE artifact_type IS NOT NULL),
+v AS (SELECT *, artifact_type || ':' || trim(regexp_replace(lower(raw), '[^a-z0-9\\s:_\\-]', '', 'g')) AS artifact_key FROM l)
+SELECT artifact_key, artifact_type, first_value(raw) OVER o AS label, CAST(row_number() OVER o AS INT) AS version_index, chunk_id, lag(chunk_id) OVER o AS previous_chunk_id
+FROM v WINDOW o AS (PARTITION BY artifact_key ORDER BY session_id, chunk_id)""",
 }

@@ -324,9 +324,11 @@ def session_raw_text(spark, sf_dir):
 
 @_query
 def retrieve_term(spark, sf_dir):
+    """Chunks for the first word of the most important concept."""
     m, ranked, links = _concepts(spark, sf_dir)
     e = graph.unique_edges(graph.cooccurrence_edges(links), graph.label_edges(ranked))
-    return indexes.retrieve("thth", ranked, e, links, m).select("chunk_id", T.round_to(F.col("score"), 6).alias("score"))
+    top = ranked.where("rank = 1").select(F.get(T.content_tokens(F.col("label")), F.lit(0)).alias("t")).first()
+    return indexes.retrieve(top["t"] if top and top["t"] else "", ranked, e, links, m).select("chunk_id", T.round_to(F.col("score"), 6).alias("score"))
 
 
 @_query
