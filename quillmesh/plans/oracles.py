@@ -220,3 +220,14 @@ v AS (SELECT *, artifact_type || ':' || trim(regexp_replace(lower(raw), '[^a-z0-
 SELECT artifact_key, artifact_type, first_value(raw) OVER o AS label, CAST(row_number() OVER o AS INT) AS version_index, chunk_id, lag(chunk_id) OVER o AS previous_chunk_id
 FROM v WINDOW o AS (PARTITION BY artifact_key ORDER BY session_id, chunk_id)""",
 }
+
+_SCORED = ORACLE_SQL["q_boundary_scores"].rpartition("SELECT source_id, block_no,")
+ORACLE_SQL["q_sessions_of_documents"] = (
+    "WITH RECURSIVE " + _SCORED[0].removeprefix("WITH ").rstrip() + f""",
+y AS (SELECT source_id, block_no, text, start_offset, end_offset, length(text) AS n, score FROM q JOIN (SELECT source_id AS i, block_no AS k, score FROM ({_SCORED[1]}{_SCORED[2]})) ON i = source_id AND k = block_no),
+f AS (SELECT source_id, block_no, n AS run, 1 AS session_no FROM y WHERE block_no = 1
+  UNION ALL SELECT y.source_id, y.block_no, CASE WHEN {{split}} THEN y.n ELSE f.run + y.n END, f.session_no + CAST({{split}} AS INT)
+  FROM f JOIN y ON y.source_id = f.source_id AND y.block_no = f.block_no + 1),
+g AS (SELECT f.source_id, session_no, y.* EXCLUDE (source_id), {_space("regexp_extract(text, '[^\n]*')")} AS line FROM f JOIN y ON y.source_id = f.source_id AND y.block_no = f.block_no)
+SELECT source_id, session_no, min_by(CASE WHEN length(line) > 90 THEN substr(line, 1, 87) || '...' ELSE line END, block_no) AS title, min(start_offset) AS start_offset, max(end_offset) AS end_offset, count(*) AS block_count FROM g GROUP BY source_id, session_no"""
+).replace("{split}", "(f.run >= 7600 * 1.6 OR (y.score + CASE WHEN f.run > 7600 * 1.05 THEN 24 ELSE 0 END + CASE WHEN f.run > 7600 * 1.3 THEN 36 ELSE 0 END >= 62 AND f.run >= 7600 * 0.42))")
