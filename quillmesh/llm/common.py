@@ -176,10 +176,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from prefix sums of one polynomial."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, from prefix sums of one polynomial.
+
+    The spans' starts ascend; longer data are hashed block by block, which gives the same
+    values with tables of bounded size.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
+    if len(data) > block:
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + block // 2)))
+            base, stop = starts[i], ends[i:j].max()
+            out[i:j] = span_hashes(data[base:stop], starts[i:j] - base, ends[i:j] - base, max(block, int(stop - base)))
+            i = j
+        return out
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):

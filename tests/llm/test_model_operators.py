@@ -252,3 +252,12 @@ def test_pipeline_keeps_what_it_should(spark):
     assert "@" not in "".join(masked.values())
     packed = C.STAGES[-1][1](spark, step, "").collect()
     assert sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
+
+
+def test_span_hashes_do_not_depend_on_blocks():
+    from quillmesh.llm.common import joined, span_hashes, word_bounds
+
+    data, _ = joined(["ab cdé " * 3000 + "x" * 5000 + " tail q", "", "ab"])
+    a, b = word_bounds(data)
+    whole = span_hashes(data, a, b)
+    assert (whole == span_hashes(data, a, b, 512)).all() and whole[0] == whole[-1] != whole[1]
