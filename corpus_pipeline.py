@@ -17,8 +17,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current policy of the rule ledger."""
-    return rule_ledger.ledger(docs).where(rule_ledger.passes(rule_ledger.CURRENT_POLICY)).select(*COLUMNS)
+    """Documents that pass the rule ledger's policy for deleting: lines must repeat three times or more to count against a text."""
+    return rule_ledger.ledger(docs).where(rule_ledger.passes(rule_ledger.DELETING_POLICY)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,15 +46,19 @@ RULES = (
     Rule("repeated_lines", 3, lambda m: m["n_dup_lines"] * 10 > m["n_lines"] * 3),
     Rule("long_words", 4, lambda m: m["word_chars"] > m["n_words"] * 15),
     Rule("shouting", 5, lambda m: m["n_bangs"] * 2 > m["n_words"]),
+    Rule("many_repeated_lines", 6, lambda m: (m["n_dup_lines"] >= 3) & (m["n_dup_lines"] * 10 > m["n_lines"] * 3)),
 )
 
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES = {
     "v1": ("few_words", "repeated_windows"),
     "v2": ("few_words", "repeated_windows", "symbol_heavy", "repeated_lines"),
-    "v3": tuple(r.name for r in RULES),
+    "v3": ("few_words", "repeated_windows", "symbol_heavy", "repeated_lines", "long_words", "shouting"),
+    "v4": ("few_words", "repeated_windows", "symbol_heavy", "many_repeated_lines", "long_words", "shouting"),
 }
 BASE_POLICY, CURRENT_POLICY = "v1", "v3"
+#: What deletes documents: one or two repeated lines of a short text are no evidence against it.
+DELETING_POLICY = "v4"
 
 
 def policy_mask(policy: str) -> int:

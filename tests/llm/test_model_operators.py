@@ -254,6 +254,19 @@ def test_pipeline_keeps_what_it_should(spark):
     assert sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
 
 
+def test_quality_stage_keeps_short_documents_with_few_repeated_lines(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = line(6), line(5), line(4)
+    three, six = [a, line(90), a], [a, b, line(90), a, b, line(20)]
+    many = [a, b, c, line(90), a, b, c, line(20)]
+    texts = ["\n".join(x) for x in (three, six, many, [line(90)] * 2)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in C.quality_rules(spark, table, "").collect()) == [0, 1]
+
+
 def test_span_hashes_do_not_depend_on_blocks():
     from quillmesh.llm.common import joined, span_hashes, word_bounds
 
