@@ -8,10 +8,11 @@ occurrences that reliable instances of one kind account for, an instance by its
 (noisy or). Patterns that end with high confidence then mark tokens that no base pattern
 knows. The base spans always stay.
 
-The texts are read twice and never shuffled; what is shuffled are counts of (pattern,
-instance). Accepted patterns must each explain at least one in ``1 / min_share`` of all seed
-occurrences, and an occurrence has two patterns, so at most ``2 / min_share`` patterns are
-ever sent to the executors, whatever the input.
+The texts are read twice; what is shuffled are counts of (pattern, instance). A pattern is
+accepted by its confidence and its distinct instances alone, however large the rest of the
+corpus is. Up to ``MAX_SENT`` accepted patterns are sent to the executors, and then no text is
+shuffled. More of them stay a table: it is joined by shuffle with the contexts of every text's
+candidates, and the texts with what was found for them, both by keys of their own.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned like any other
 and count as often as they occur; ties keep every kind's span, by start and then by kind; an
@@ -23,7 +24,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,8 @@ from .common import Table, pieces, texts_in
 BASE_KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
 KINDS = (*BASE_KINDS, SECRET)
+#: Kinds by accepted pattern: a dictionary, or a table (pattern, kind).
+Patterns = dict[str, str] | DataFrame
 
 # The base patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,6 +48,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{32,}(?![A-Za-z0-9+/_-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
+#: So many accepted patterns at most are sent to the executors; more are joined by shuffle.
+MAX_SENT = 20_000
 _EDGE = "\"'`.,;:!?()[]{}<>#*$%&|="
 
 
@@ -167,24 +173,22 @@ def graph(docs: DataFrame, text: str = "text") -> DataFrame:
     return edges.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n"))
 
 
-def accepted_patterns(edges: DataFrame, rounds: int = 3, confidence: float = 0.8, min_instances: int = 3, min_share: float = 0.0005) -> dict[str, str]:
-    """Patterns of high confidence with their kind, at most 2 / min_share of them.
+def accepted_patterns(edges: DataFrame, rounds: int = 3, confidence: float = 0.8, min_instances: int = 3, max_sent: int = MAX_SENT) -> Patterns:
+    """Patterns of high confidence with their kind: a dictionary, or a table if there are more than ``max_sent``.
 
     A pattern's confidence for a kind is the part of its occurrences that instances of that
     kind explain, weighted by their scores, over all its occurrences and one more.
     """
     seeds = edges.where("kind is not null")
-    total = seeds.agg(F.sum("n")).first()[0] or 0
-    if not total:
+    if not seeds.limit(1).count():
         return {}
-    least = max(min_instances, total / 2 * min_share)
     whole = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
     score = seeds.select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     by_instance = Table(edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")), "pii-edges")
     for i in range(rounds):
         hits = by_instance.df.join(score, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hits"), F.count("*").alias("instances"))
         confident = (
-            hits.where((F.col("hits") >= least) & (F.col("instances") >= min_instances))
+            hits.where((F.col("hits") >= min_instances) & (F.col("instances") >= min_instances))
             .join(whole, "pattern")
             .withColumn("conf", F.col("hits") / (F.col("all") + 1.0))
             .where(F.col("conf") >= confidence)
@@ -193,10 +197,34 @@ def accepted_patterns(edges: DataFrame, rounds: int = 3, confidence: float = 0.8
         if i + 1 < rounds:
             derived = by_instance.df.join(kept.df, "pattern").groupBy("instance", "kind").agg((1.0 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("score"))
             score = Table(seeds.select("instance", "kind", F.lit(1.0).alias("score")).union(derived).groupBy("instance", "kind").agg(F.max("score").alias("score")), "pii-scores").df
-    best: dict[str, tuple[float, str]] = {}
-    for r in kept.df.collect():  # bounded by min_share
-        best[r["pattern"]] = max(best.get(r["pattern"], (0.0, "")), (r["conf"], r["kind"]))
-    return {p: kind for p, (_, kind) in best.items()}
+    best = kept.df.groupBy("pattern").agg(F.max(F.struct("conf", "kind"))["kind"].alias("kind"))
+    few = best.limit(max_sent + 1).collect()  # bounded by max_sent
+    return {r["pattern"]: r["kind"] for r in few} if len(few) <= max_sent else Table(best, "pii-accepted").df
+
+
+def _known(docs: DataFrame, patterns: Patterns, text: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterable[dict[str, str]]]]:
+    """The rows, and what gives each row of a batch its patterns.
+
+    A table of patterns adds a last column: those of the row's own candidates. Equal texts
+    share a digest and so need no row number; null texts have neither.
+    """
+    if isinstance(patterns, dict):
+        return docs, lambda batch: repeat(patterns, batch.num_rows)
+    schema = pa.schema([("digest", pa.string()), ("pattern", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            found: set[tuple[str, str]] = set()
+            for digest, t in zip(batch.column(0).to_pylist(), texts_in(batch, "text"), strict=True):
+                spans = _seeds(t)
+                found.update((digest, p) for s, e in tokens_with_digits(t) if not _overlaps(spans, s, e) for p in contexts(t, s, e))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], schema=schema)
+
+    digest = F.sha2(F.col(f"`{text}`"), 256)
+    asked = docs.where(f"`{text}` is not null").select(digest.alias("digest"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "digest string, pattern string").distinct()
+    own = asked.join(patterns.hint("merge"), "pattern").groupBy(F.col("digest").alias("_pii_digest")).agg(F.collect_list(F.struct("pattern", "kind")).alias("_pii_patterns"))
+    rows = docs.withColumn("_pii_digest", digest).join(own.hint("merge"), "_pii_digest", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_pii_patterns")
+    return rows, lambda batch: ({x["pattern"]: x["kind"] for x in own or ()} for own in batch.column(batch.num_columns - 1).to_pylist())
 
 
 def all_spans(text: str, patterns: dict[str, str]) -> list[tuple[int, str, int]]:
@@ -214,7 +242,7 @@ def all_spans(text: str, patterns: dict[str, str]) -> list[tuple[int, str, int]]
     return spans
 
 
-def learn(docs: DataFrame, text: str = "text", **settings) -> dict[str, str]:
+def learn(docs: DataFrame, text: str = "text", **settings) -> Patterns:
     return accepted_patterns(Table(graph(docs, text), "pii-graph").df, **settings)
 
 
@@ -222,21 +250,22 @@ def span_list(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, kind, e in spans)
 
 
-def find(docs: DataFrame, patterns: dict[str, str], text: str = "text", key: str = "doc_id") -> DataFrame:
+def find(docs: DataFrame, patterns: Patterns, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Counts per base kind, the digest of the base spans and all spans of every row."""
+    source, known = _known(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), patterns, "text")
     names = [*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_secret"]
     fields = pa.schema([("doc_id", pa.int64()), *((n, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             rows = []
-            for t in texts_in(batch, "text"):
-                base, every = base_spans(t), all_spans(t, patterns)
+            for t, own in zip(texts_in(batch, "text"), known(batch), strict=True):
+                base, every = base_spans(t), all_spans(t, own)
                 rows.append((*(sum(k == kind for _, k, _ in base) for kind in BASE_KINDS), hashlib.sha256(span_list(base).encode()).hexdigest(), span_list(every), sum(k == SECRET for _, k, _ in every)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], fields.field(i + 1).type) for i in range(len(names)))], schema=fields)
 
     ddl = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in fields)
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, ddl)
+    return source.mapInArrow(run, ddl)
 
 
 def mask(text: str, spans: list[tuple[int, str, int]]) -> str:
@@ -249,13 +278,14 @@ def mask(text: str, spans: list[tuple[int, str, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, patterns: Patterns, text: str = "text") -> DataFrame:
     """The rows with every span of the text masked; all columns stay, null texts too."""
-    at = docs.columns.index(text)
+    at, width = docs.columns.index(text), len(docs.columns)
+    source, known = _known(docs, patterns, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
-            new = [t if t is None else mask(t, all_spans(t, patterns)) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            new = [t if t is None else mask(t, all_spans(t, own)) for t, own in zip(batch.column(at).to_pylist(), known(batch), strict=True)]
+            yield batch.select(range(width)).set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, docs.schema)

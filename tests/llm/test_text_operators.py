@@ -122,6 +122,26 @@ def test_contexts_find_what_no_base_pattern_knows(spark):
     assert P.learn(table.limit(0)) == {} and P.find(table.limit(0), {}).count() == 0
 
 
+def test_rare_contexts_stay_beside_many_other_seeds(spark):
+    rare = [("member number _", f"k{i}", "secret", 1) for i in range(40)]
+    hot = [("write to _", f"m{i}", "email", 1000) for i in range(400)]
+    edges = spark.createDataFrame(rare + hot, "pattern string, instance string, kind string, n long")
+    want = {"member number _": "secret", "write to _": "email"}
+    assert P.accepted_patterns(edges) == want
+    assert {r["pattern"]: r["kind"] for r in P.accepted_patterns(edges, max_sent=1).collect()} == want
+
+
+def test_a_table_of_patterns_gives_what_a_dictionary_gives(spark):
+    texts = [None, "", "no digits", *[f"his member number K-77{i % 3} was here and room 1234 too" for i in range(9)], "call me at 12345 today", "x member number A123,"]
+    rows = [(i if i % 4 else None, t, "s") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = {"member number _": "secret", "at _ today": "phone"}
+    many = spark.createDataFrame(list(few.items()), "pattern string, kind string")
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(P.find(table, few)) == plain(P.find(table, many)) and plain(P.redacted(table, few)) == plain(P.redacted(table, many))
+    assert P.redacted(table, many).columns == table.columns and any("<SECRET>" in (r["text"] or "") for r in P.redacted(table, many).collect())
+
+
 def test_mask_of_overlapping_spans():
     assert P.mask("abcdef", [(1, "email", 3), (2, "ip", 5)]) == "a<EMAIL>f"
 
