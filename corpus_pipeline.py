@@ -8,6 +8,7 @@ documents. Stages work on everything their predecessor kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmesh.llm import dart_minhash, mixing, packing, pii_bootstrap, rule_ledger
 from quillmesh.llm.common import materialize
@@ -22,9 +23,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    classes = dart_minhash.near_duplicates(docs)
-    return docs.join(classes.where("not kept").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of near duplicate texts: the one with the smallest id.
+
+    Rows are told apart by a number of their own, so rows without an id and different texts
+    under one id stay. Rows without an id come after those with one; rows that share an id are
+    ordered by a hash of all columns. Null and blank texts are groups of their own.
+    """
+    tie = F.xxhash64(*COLUMNS)
+    # Written once, as the numbers must be the same in every read.
+    rows = materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()).withColumn("_tie", tie), "rows")
+    classes = dart_minhash.near_duplicates(rows, key="_row").where("class_size > 1").select(F.col("doc_id").alias("_row"), "class_id")
+    members = materialize(classes.join(rows.select("_row", "_tie", "doc_id"), "_row"), "class-members")
+    best = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie", "_row"))["_row"].alias("_row"))
+    dropped = members.join(best.select("_row"), "_row", "left_anti").select("_row")
+    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,6 +267,21 @@ def test_quality_stage_keeps_short_documents_with_few_repeated_lines(spark):
     assert sorted(r["doc_id"] for r in C.quality_rules(spark, table, "").collect()) == [0, 1]
 
 
+def test_near_dedup_keeps_different_texts_under_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    none, same, copied = [text() for _ in range(5)], [text() for _ in range(5)], text()
+    rows = [(None, t) for t in [*none, copied, copied]] + [(7, t) for t in [*same, same[0], same[1] + " more"]] + [(9, copied), (8, copied), (3, None), (3, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in C.near_dedup(spark, table, "").collect()]
+    assert sorted((t for i, t in got if i is None)) == sorted(none)
+    own = [t for i, t in got if i == 7]
+    assert len(own) == 5 and {t.removesuffix(" more") for t in own} == set(same)
+    assert sorted((i, t or "") for i, t in got if i not in (None, 7)) == [(3, ""), (3, ""), (8, copied)]
+
+
 def test_span_hashes_do_not_depend_on_blocks():
     from quillmesh.llm.common import joined, span_hashes, word_bounds
 
