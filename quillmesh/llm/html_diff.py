@@ -3,18 +3,22 @@
 A page becomes text lines, one for each block, each with what encloses it. Lines in scripts,
 forms, menus, headers, footers, sidebars, adverts, notices and reader comments go at once.
 Pages are sorted by host and URL path; each is paired with its neighbour on the same host
-that shares the longer path prefix, their lines are aligned by longest common subsequence,
-and shared lines are deleted as the site's own. Running text inside an article element is
+that shares the longer path prefix. Neighbours with equal or nearly equal content are mirrors:
+all of a run of mirrors are paired with the different pages before and after the run, and a
+run that has none keeps its lines, as nothing tells the site's own from the text. The lines of
+a pair are aligned by longest common subsequence, and shared lines are deleted as the site's
+own. Running text inside an article element is
 never deleted that way, so mirrored articles and quoted passages stay whole. If a page has an
 article or main element, lines outside of it are not kept.
 
 The pages are dealt by ranges of (host, path, page_id), so a host with any share of the
-pages spreads over many tasks, and a task holds three pages at a time. The first and the last
-page of a range are paired inside the range.
+pages spreads over many tasks. A task holds two pages and the run of mirrors that waits for its
+next page, of which only the lines that differ from the run's first page take room. The first
+and the last page of a range are paired inside the range.
 
 Defined results: null or empty html gives the empty text; an unparsable or missing url is the
-empty host and path; repeated rows are pages of their own (a mirror's lines count as shared
-only outside the article); unclosed elements end with the page, except that an article or
+empty host and path; repeated rows are pages of their own
+and each other's mirrors; unclosed elements end with the page, except that an article or
 main element ends an unclosed menu, header or advert; an empty table gives no rows; other
 columns are not read.
 """
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,6 +50,8 @@ MARKS = frozenset(
     "skip toolbar search complementary contentinfo".split()
 )
 ARTICLE = frozenset(("article", "main"))
+#: The share of both pages' characters that lies in shared lines if they are mirrors.
+MIRROR = 0.95
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -203,6 +210,19 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+def mirrors(a: Page, b: Page) -> bool:
+    """Whether two pages of a host have equal or nearly equal lines."""
+    if not a.host or a.host != b.host:
+        return False
+    x, y = [v.text for v in a.lines], [v.text for v in b.lines]
+    if x == y:
+        return True
+    least = MIRROR * max(sum(map(len, x)), sum(map(len, y)))
+    if min(sum(map(len, x)), sum(map(len, y))) < least:
+        return False
+    return sum(len(t) * n for t, n in (Counter(x) & Counter(y)).items()) >= least
+
+
 def main_text(page: Page, other: Page | None) -> str:
     """The kept lines of a page, given its paired page."""
     shared = common_lines([x.text for x in page.lines], [x.text for x in other.lines]) if other else set()
@@ -230,19 +250,27 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
             text = main_text(page, other)
             done.append((k, u, text, len(text)))
 
-        before, held = None, None
+        before: Page | None = None
+        waiting: list[tuple[int | None, str | None, Page]] = []  # mirrors of the first of them
+        own: dict[tuple, Line] = {}
         for batch in pieces(batches, "html"):
             for k, u, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 page = Page(*host_and_path(u), lines_of(h or ""))
-                if held:
-                    settle(*held, before, page)
-                    before = held[2]
-                held = (k, u, page)
+                if waiting and mirrors(waiting[0][2], page):
+                    page.lines = [own.get((x.text, x.article, x.prose), x) for x in page.lines]
+                else:
+                    for x in waiting:
+                        settle(*x, before, page)
+                    before = waiting[-1][2] if waiting else None
+                    waiting = []
+                    own = {(x.text, x.article, x.prose): x for x in page.lines}
+                waiting.append((k, u, page))
             if done:
                 yield batch_of(done)
                 done = []
-        if held:
-            settle(*held, before, None)
+        for x in waiting:
+            settle(*x, before, None)
+        if done:
             yield batch_of(done)
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

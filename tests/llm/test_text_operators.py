@@ -266,6 +266,23 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
     assert H.extract(table.limit(0)).count() == 0
 
 
+def test_mirrors_are_paired_with_the_next_different_page(spark):
+    body = "<body><div>Site name</div><p>{}</p><div>All rights</div></body>"
+    long = " ".join(f"word{i}" for i in range(60))
+    near = body.format(f"{long}</p><p>seen 7")
+    pages = [("http://m.org/a?x=1", body.format("Mirror text.")), ("http://m.org/a?x=2", body.format("Mirror text.")), ("http://n.org/a?x=1", body.format("Copy text.")), ("http://n.org/a?x=2", body.format("Copy text.")), ("http://n.org/b", body.format("Other text."))]
+    pages += [("http://q.org/a?x=1", near), ("http://q.org/a?x=2", near.replace("seen 7", "seen 8"))]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r["page_id"]: r["text"] for r in H.extract(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] == "Site name Mirror text. All rights"
+    assert got[2] == got[3] == "Copy text." and got[4] == "Other text."
+    assert long in got[5] and long in got[6]
+
+
 def test_records_are_json(spark):
     row = C.records_of_turns(spark.createDataFrame([(1, 0, "user", 'a" ')], "conv_id long, turn long, role string, text string")).first()
     assert json.loads(row["record"]) == {"messages": [{"role": "user", "content": 'a" '}]}
