@@ -49,6 +49,13 @@ MARKS = frozenset(
     "header masthead topbar footer comment comments commentlist reply replies disqus respond share sharing social related recommended recommendations widget "
     "skip toolbar search complementary contentinfo".split()
 )
+#: What still marks an element inside an article, where headers, notices and the like are its own.
+MARKS_INSIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsored promo newsletter subscribe cookies gdpr popup navbar nav navigation breadcrumb breadcrumbs "
+    "pagination pager comments commentlist disqus respond share sharing social sidebar toolbar masthead topbar".split()
+)
+#: Words that may stand beside those in a name, as in ad-slot and site-header.
+BESIDE = frozenset("site global box slot unit bar list links buttons".split())
 ARTICLE = frozenset(("article", "main"))
 #: The share of both pages' characters that lies in shared lines if they are mirrors.
 MIRROR = 0.95
@@ -78,12 +85,34 @@ class Page:
         return any(x.article for x in self.lines)
 
 
-def _marked(attributes: str) -> bool:
-    if "=" not in attributes and "hidden" not in attributes:
+def _hidden(attributes: str) -> bool:
+    return ("=" in attributes or "hidden" in attributes) and bool(_HIDDEN.search(attributes))
+
+
+def _marked(attributes: str, marks: frozenset[str] = MARKS) -> bool:
+    """Whether a whole name in class, id or role, or a whole label, is made of marks.
+
+    A name with other words in it (has-sidebar, article-header, comments-open) says something
+    about an element that holds more than that.
+    """
+    if "=" not in attributes:
         return False
-    if _HIDDEN.search(attributes):
+    for m in _ATTRIBUTE.finditer(attributes):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        for name in [value] if m[1].lower() == "aria-label" else value.split():
+            words = [w for w in _PART.findall(name) if len(w) > 1]
+            if not marks.isdisjoint(words) and all(w in marks or w in BESIDE for w in words):
+                return True
+    return False
+
+
+def _dropped(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element goes with all in it; body, main and article never go by their names alone."""
+    if name in DROPPED or (name == "header" and not inside):
         return True
-    return any(MARKS.intersection(_PART.findall((m[2] or m[3] or m[4] or "").lower())) for m in _ATTRIBUTE.finditer(attributes))
+    if name in ("body", "html") or not attributes:
+        return False
+    return _hidden(attributes) or (name not in ARTICLE and _marked(attributes, MARKS_INSIDE if inside else MARKS))
 
 
 def lines_of(html: str) -> list[Line]:
@@ -141,11 +170,11 @@ def lines_of(html: str) -> list[Line]:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        if name in ARTICLE and dropped and not articles and not _marked(m[3]):
+        if name in ARTICLE and dropped and not articles and not _hidden(m[3]) and (name == "main" or not _marked(m[3])):
             close(next((k for k, (_, d) in enumerate(open_) if d), len(open_)))
         if name == "p" and open_ and open_[-1][0] == "p":
             close(len(open_) - 1)
-        bad = name in DROPPED or (name == "header" and not articles) or (name not in ("body", "html") and _marked(m[3]))
+        bad = _dropped(name, m[3], articles > 0)
         if not m[3].rstrip().endswith("/"):
             open_.append((name, bad))
             dropped += bad

@@ -266,6 +266,24 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
     assert H.extract(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<main class='has-sidebar'><article><p>Text</p></article></main>", "Text"),
+        ("<main class='sidebar'><p>Text</p></main>", "Text"),
+        ("<body class='menu'><p>Text</p></body>", "Text"),
+        ("<article class='post comments-open'><p>Text</p></article>", "Text"),
+        ("<div class='with-sidebar'><p>Text</p></div>", "Text"),
+        ("<article><div class='article-header'><h1>Head</h1></div><p class='related'>Text</p><h2 class='section-header'>More</h2></article>", "Head Text More"),
+        ("<article><p>Text</p><div class='big ad'>Buy</div><div id='comments'><article class='comment'>nice</article></div></article>", "Text"),
+        ("<div class='site-header'>Name</div><div class='cookie-banner'>Agree</div><div role='search'>Find</div><p>Text</p><div class='ad-slot'>Buy</div>", "Text"),
+        ("<article><p>Text</p></article><section class='comments'><article class='comment'>nice</article></section>", "Text"),
+    ],
+)
+def test_wrappers_named_after_what_they_hold_are_kept(html, want):
+    assert H.main_text(H.Page("h", "/a", H.lines_of(html)), None) == want
+
+
 def test_mirrors_are_paired_with_the_next_different_page(spark):
     body = "<body><div>Site name</div><p>{}</p><div>All rights</div></body>"
     long = " ".join(f"word{i}" for i in range(60))
