@@ -6,6 +6,10 @@ boundaries are ASCII and written out, because ``\\b`` is Unicode-aware in the JV
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,30 +88,42 @@ def preview(text: Column, length: int = 260) -> Column:
     return F.when(F.length(t) <= length, t).otherwise(F.concat(F.substring(t, 1, length - 3), F.lit("...")))
 
 
+_SENTENCE = re.compile(r"[^.!?\n]++([.!?]+|\Z)?")
+_SPACES = re.compile("[ \t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+_SENTENCE_FIELDS = pa.struct([("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+
+
+def sentences_of(text: str) -> list[tuple[str, int, int]]:
+    """(text, start, stop) of the sentences in one pass; a run that ends at a line feed is none."""
+    out = []
+    for m in _SENTENCE.finditer(text):
+        if m[1] is not None:
+            lead = _SPACES.match(m[0])
+            clean = _SPACES.sub(" ", m[0]).strip(" ")
+            if clean:
+                start = m.start() + (lead.end() if lead else 0)
+                out.append((clean, start, start + len(clean)))
+    if not out and (whole := _SPACES.sub(" ", text).strip(" ")):
+        return [(whole, 0, len(whole))]
+    return out
+
+
 def sentences(text: Column) -> Column:
     """Structs (text, start, stop) of the sentences, offsets within the text.
 
     A sentence is a run without ``.!?`` and line feeds that ends at such marks or at the
-    text's end; a text without any is one sentence.
+    text's end; a text without any is one sentence. Running offsets have no linear column
+    form, so texts go through Arrow, each read once.
     """
-    pattern = r"[^.!?\n]+(?:[.!?]+|\z)"
-    t = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
-    # Each match lies after the previous one, so offsets follow from a running search position.
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,start:int,stop:int>>").alias("out"))
-
-    def step(state: Column, raw: Column) -> Column:
-        place = F.call_function("locate", raw, t, state["at"])
-        clean = normalize_space(raw)
-        lead = F.length(raw) - F.length(F.regexp_replace(raw, f"^{SPACE}+", ""))
-        begin = place - 1 + lead
-        item = F.struct(clean.alias("text"), begin.cast("int").alias("start"), (begin + F.length(clean)).cast("int").alias("stop"))
-        return F.struct((place + F.length(raw)).cast("int").alias("at"), F.when(clean == "", state["out"]).otherwise(F.concat(state["out"], F.array(item))).alias("out"))
-
-    whole = normalize_space(t)
-    got = F.aggregate(found, start, step, lambda s: s["out"])
-    alone = F.when(whole == "", F.array().cast("array<struct<text:string,start:int,stop:int>>")).otherwise(F.array(F.struct(whole.alias("text"), F.lit(0).alias("start"), F.length(whole).cast("int").alias("stop"))))
-    return F.when(F.size(got) == 0, alone).otherwise(got)
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [sentences_of(t or "") for t in texts.to_pylist()]
+        flat = [x for one in found for x in one]
+        ends = np.concatenate(([0], np.cumsum([len(one) for one in found])))
+        columns = [pa.array([x[i] for x in flat], _SENTENCE_FIELDS.field(i).type) for i in range(3)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_SENTENCE_FIELDS)))
+
+    return F.arrow_udf(run, "array<struct<text:string,start:int,stop:int>>")(text)
 
 
 def deterministic_timestamp(modified_ms: Column) -> Column:

@@ -1,15 +1,16 @@
 """Chunking: a session's blocks become units, units are packed greedily into chunks.
 
 Packing is a fold over a session's units, like the sessions' one: its state keeps the current
-length and the positions where chunks begin.
+length and the last unit's speaker.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CHUNK_SIZES
+from ..functions.folds import folded
 from ..functions.text import leading_words, normalize_space, sentences, word
 from .speaker import _best, sequence_preview
 
@@ -65,34 +66,32 @@ def units(blocks: DataFrame, size: str = "medium") -> DataFrame:
     text = normalize_space(F.col("text"))
     whole = F.col("type").isin(*WHOLE) | (F.length(text) <= target * 1.5)
     one = F.array(F.struct(text.alias("text"), F.lit(0).alias("start"), (F.col("end_offset") - F.col("start_offset")).cast("int").alias("stop")))
-    rows = blocks.where(text != "").withColumn("_u", F.when(whole, one).otherwise(sentences(F.col("text"))))
+    rows = blocks.where(text != "").withColumn("_u", F.when(whole, one).otherwise(sentences(F.when(~whole, F.col("text")))))
     rows = rows.select("source_id", "session_no", "block_no", "type", "speaker", "turn_index", "turn_role", "start_offset", F.posexplode("_u").alias("k", "u"))
     return rows.select("source_id", "session_no", "block_no", "k", F.col("type").alias("block_type"), "speaker", "turn_index", F.coalesce("turn_role", "speaker.role").alias("turn_role"), F.col("u.text").alias("text"), (F.col("start_offset") + F.col("u.start")).alias("start_offset"), (F.col("start_offset") + F.col("u.stop")).alias("end_offset"))
 
 
-def chunk_starts(items: Column, size: str) -> Column:
-    """Positions at which chunks begin after the first, over structs with n, cue, done and speaker fields."""
-    low, target, high = CHUNK_SIZES[size]
-    cue_at = int(low * 0.7 + 0.5)
+class Packing:
+    """The fold over one session's units: the number of the chunk a unit goes to."""
 
-    def step(s: Column, x: Column) -> Column:
-        open_ = s["run"] > 0
-        roles = F.coalesce((s["role"] != "unknown") & (x["role"] != "unknown") & (s["role"] != x["role"]), F.lit(False))
-        switch = F.coalesce(s["turn"] != x["turn"], F.lit(False)) | roles | F.coalesce(s["label"] != x["label"], F.lit(False))
-        cut = open_ & (((s["run"] + x["n"] > high) & (s["run"] >= low)) | switch | (x["cue"] & (s["run"] >= cue_at)))
-        run = F.when(cut | ~open_, x["n"]).otherwise(s["run"] + x["n"])
-        full = (run >= target) & x["done"]
-        return F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(full, 0).otherwise(run).alias("run"),
-            x["turn"].alias("turn"),
-            x["role"].alias("role"),
-            x["label"].alias("label"),
-            F.when((cut | ~open_) & (s["at"] > 0), F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"),
-        )
+    def __init__(self, size: str):
+        self.low, self.target, self.high = CHUNK_SIZES[size]
+        self.cue_at = int(self.low * 0.7 + 0.5)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(None).cast("bigint").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("label"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(items, start, step, lambda s: s["starts"])
+    def start(self) -> None:
+        self.run, self.chunk, self.last = 0, 0, (None, None, None)
+
+    def step(self, n: int, cue: bool, done: bool, turn: int | None, role: str | None, label: str | None) -> int:
+        differ = lambda a, b: a is not None and b is not None and a != b
+        was_turn, was_role, was_label = self.last
+        switch = differ(was_turn, turn) or (differ(was_role, role) and "unknown" not in (was_role, role)) or differ(was_label, label)
+        if self.run == 0 or (self.run + n > self.high and self.run >= self.low) or switch or (cue and self.run >= self.cue_at):
+            self.chunk, self.run = self.chunk + 1, 0
+        self.run += n
+        self.last = turn, role, label
+        if self.run >= self.target and done:
+            self.run = 0
+        return self.chunk
 
 
 def chunk_speaker(us: Column) -> Column:
@@ -120,15 +119,16 @@ def chunk_speaker(us: Column) -> Column:
 
 def chunks(unit_rows: DataFrame, size: str = "medium") -> DataFrame:
     """Chunks of every session with kind, artifact and speaker; seq_in_session counts from 1."""
-    fields = ("block_no", "k", "block_type", "speaker", "turn_index", "turn_role", "text", "start_offset", "end_offset")
-    grouped = unit_rows.groupBy("source_id", "session_no").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("u"))
-    items = F.transform("u", lambda u: F.struct(F.length(u["text"]).alias("n"), is_cue(u["text"]).alias("cue"), is_complete(u["text"]).alias("done"), u["turn_index"].alias("turn"), u["turn_role"].alias("role"), u["speaker"]["label"].alias("label")))
-    at = grouped.withColumn("starts", F.concat(F.array(F.lit(0)), chunk_starts(items, size)))
-    at = at.withColumn("z", F.transform("starts", lambda s, i: F.struct(s.alias("a"), (F.coalesce(F.get("starts", i + 1), F.size("u")) - s).alias("n"))))
-    each = at.select("source_id", "session_no", "u", F.posexplode("z").alias("i", "z")).select("source_id", "session_no", (F.col("i") + 1).alias("seq_in_session"), F.slice("u", F.col("z.a") + 1, F.col("z.n")).alias("u"))
+    group, order = ("source_id", "session_no"), ("block_no", "k")
+    known = Window.partitionBy(*group).orderBy(*order)  # deals and sorts the units, as the fold needs them
+    rows = unit_rows.select("*", F.length("text").alias("n"), is_cue(F.col("text")).alias("cue"), is_complete(F.col("text")).alias("done"), F.col("speaker.label").alias("label"), F.row_number().over(known).alias("place"))
+    rows = folded(rows, group, order, ("n", "cue", "done", "turn_index", "turn_role", "label"), "seq_in_session", lambda: Packing(size))
+    fields = ("place", "block_type", "speaker", "turn_index", "turn_role", "text", "start_offset", "end_offset")
+    each = rows.groupBy(*group, "seq_in_session").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("u"))  # a chunk's units
     text = normalize_space(F.array_join(F.transform("u", lambda u: u["text"]), " "))
     types = F.array_distinct(F.transform("u", lambda u: u["block_type"]))
-    rows = each.select("source_id", "session_no", "seq_in_session", F.get("u", F.lit(0))["start_offset"].alias("start_offset"), F.element_at("u", -1)["end_offset"].alias("end_offset"), text.alias("text"), types.alias("source_block_types"), chunk_speaker(F.col("u")).alias("s"))
+    rows = each.select(*group, "seq_in_session", F.get("u", F.lit(0))["start_offset"].alias("start_offset"), F.element_at("u", -1)["end_offset"].alias("end_offset"), text.alias("text"), types.alias("source_block_types"), chunk_speaker(F.col("u")).alias("s"))
     rows = rows.withColumn("kind", chunk_kind(F.col("text"), F.array_contains("source_block_types", "quote"))).withColumn("artifact_type", artifact_type(F.col("text"), F.col("source_block_types")))
     rows = rows.withColumn("artifact_label", artifact_label(F.col("text"), F.col("artifact_type")))
-    return rows.select("*", "s.*").drop("s").withColumn("session_id", F.concat_ws("/", "source_id", F.format_string("sess_%06d", "session_no"))).withColumn("chunk_id", F.concat_ws("/", "source_id", F.format_string("sess_%06d", "session_no"), F.format_string("chunk_%06d", "seq_in_session")))
+    session = F.concat_ws("/", "source_id", F.format_string("sess_%06d", "session_no"))
+    return rows.select("*", "s.*").drop("s").withColumn("session_id", session).withColumn("chunk_id", F.concat_ws("/", session, F.format_string("chunk_%06d", "seq_in_session")))

@@ -1,8 +1,8 @@
 """Sessionization: a source's blocks are split by a score and by the running length.
 
 The score's static part is windows over neighbouring blocks. The running length starts anew
-at each split, so the split itself is a fold over the source's blocks in order; its state
-keeps only the split positions, and it runs inside the row, without a Python worker.
+at each split, so the split itself is a fold over the source's blocks in order. It keeps one
+number and passes rows on as they come, so a source of any length takes no room.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import SESSION_TARGET
+from ..functions.folds import folded
 from ..functions.text import jaccard, safe_title
 
 
@@ -25,35 +26,29 @@ def boundary_score(order) -> Column:
     return pts(F.col("leading_blank_lines") >= 2, 20) + pts(prev("has_timestamp") | F.col("has_timestamp"), 16) + pts(speaker, 34) + pts(prev("type") != F.col("type"), 14) + theme
 
 
-def cuts(items: Column, target: int) -> Column:
-    """Positions (from 0) at which a new session begins, over structs with n and score in order."""
+class Cuts:
+    """The fold over one source's blocks at a time: whether a new session begins at a block."""
 
-    def step(state: Column, x: Column) -> Column:
-        run = state["run"]
-        score = x["score"] + F.when(run > target * 1.05, 24).otherwise(0) + F.when(run > target * 1.3, 36).otherwise(0)
-        split = (state["at"] > 0) & ((run >= target * 1.6) | ((score >= 62) & (run >= target * 0.42)))
-        return F.struct(
-            (state["at"] + 1).alias("at"),
-            F.when(split, x["n"]).otherwise(run + x["n"]).alias("run"),
-            F.when(split, F.concat(state["cuts"], F.array(state["at"]))).otherwise(state["cuts"]).alias("cuts"),
-        )
+    def __init__(self, target: int):
+        self.target, self.run, self.session = target, 0, 0
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("cuts"))
-    return F.aggregate(items, start, step, lambda s: s["cuts"])
+    def start(self) -> None:
+        self.run, self.session = 0, 0
+
+    def step(self, length: int, score: int) -> int:
+        """The block's session number, from 1."""
+        score += 24 * (self.run > self.target * 1.05) + 36 * (self.run > self.target * 1.3)
+        if self.session == 0 or self.run >= self.target * 1.6 or (score >= 62 and self.run >= self.target * 0.42):
+            self.session, self.run = self.session + 1, 0
+        self.run += length
+        return self.session
 
 
 def with_sessions(blocks: DataFrame, size: str = "medium") -> DataFrame:
-    """Blocks with session_no, from 1 in each source."""
+    """Blocks with score and session_no, from 1 in each source."""
     order = Window.partitionBy("source_id").orderBy("block_no")
-    rows = blocks.withColumn("score", boundary_score(order)).withColumn("n", F.length("text"))
-    fields = [c for c in rows.columns if c != "source_id"]
-    grouped = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("block_no", *[c for c in fields if c != "block_no"]))).alias("b"))
-    split = grouped.withColumn("cuts", cuts(F.transform("b", lambda x: F.struct(x["n"].alias("n"), x["score"].alias("score"))), SESSION_TARGET[size]))
-    # A session is the slice between two cuts, so each block is copied once.
-    at = split.withColumn("starts", F.concat(F.array(F.lit(0)), "cuts")).withColumn("ends", F.concat("cuts", F.array(F.size("b"))))
-    each = at.select("source_id", "b", F.posexplode(F.arrays_zip("starts", "ends")).alias("k", "z"))
-    part = each.select("source_id", (F.col("k") + 1).alias("session_no"), F.explode(F.slice("b", F.col("z.starts") + 1, F.col("z.ends") - F.col("z.starts"))).alias("x"))
-    return part.select("source_id", "session_no", "x.*").drop("n")
+    rows = blocks.withColumn("score", boundary_score(order)).withColumn("n", F.length("text")).drop("token_set")
+    return folded(rows, ("source_id",), ("block_no",), ("n", "score"), "session_no", lambda: Cuts(SESSION_TARGET[size])).drop("n")
 
 
 def session_texts(blocks: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
+from ..functions.tables import materialize
 from ..operators import artifacts, concepts, graph, indexes, obsessions, symbols, textpack
 from ..operators import blocks as block_ops
 from ..operators import chunks as chunk_ops
@@ -32,7 +33,8 @@ class Corpus:
 
     @cached_property
     def session_blocks(self) -> DataFrame:
-        return speaker_ops.with_turns(session_ops.with_sessions(self.blocks, self.settings.session_size))
+        """Written once: turns, annotated blocks, chunks and session texts all read the parse."""
+        return materialize(speaker_ops.with_turns(session_ops.with_sessions(self.blocks, self.settings.session_size)), "session-blocks")
 
     @cached_property
     def turns(self) -> DataFrame:

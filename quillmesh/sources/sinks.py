@@ -5,9 +5,11 @@ from __future__ import annotations
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 
 def write_tables(tables: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
     for name, df in tables.items():
@@ -15,15 +17,8 @@ def write_tables(tables: dict[str, DataFrame], folder: str, mode: str = "errorif
 
 
 def sharded(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Adds ``shard``, counted from 1, of ``size`` rows in the given order.
-
-    Ranges are numbered by their counts, so the rows never meet in one task.
-    """
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").count()
-    before = counts.withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).select("_part", "_before")
-    numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return numbered.join(before, "_part").withColumn("shard", (F.floor((F.col("_before") + F.col("_row") - 1) / size) + 1).cast("int")).drop("_part", "_row", "_before")
+    """Adds ``shard``, counted from 1, of ``size`` rows in the given order; the rows never meet in one task."""
+    return numbered(df, "_number", order).withColumn("shard", (F.floor((F.col("_number") - 1) / size) + 1).cast("int")).drop("_number")
 
 
 def write_jsonl(df: DataFrame, folder: str, rows_per_file: int = 2000) -> None:

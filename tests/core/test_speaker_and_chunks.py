@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillmesh.functions.folds import folded
 from quillmesh.operators import blocks as B
 from quillmesh.operators import chunks as C
 from quillmesh.operators import sessions as S
@@ -62,8 +63,12 @@ def test_sessions_split_like_a_plain_loop(spark):
             want.append(i)
             run = 0
         run += n
-    df = spark.createDataFrame([(items,)], "x array<struct<n:int,score:int>>")
-    assert df.select(S.cuts(F.col("x"), 7600).alias("c")).first()["c"] == want
+    df = spark.createDataFrame([(k, i, *x) for k in "ab" for i, x in enumerate(items)], "source_id string, block_no int, n int, score int").repartition(3, "source_id")
+    got = folded(df, ("source_id",), ("block_no",), ("n", "score"), "session_no", lambda: S.Cuts(7600)).collect()
+    for k in "ab":
+        numbers = [r["session_no"] for r in sorted(got, key=lambda r: r["block_no"]) if r["source_id"] == k]
+        assert [i for i in range(1, 200) if numbers[i] != numbers[i - 1]] == want
+        assert numbers[0] == 1 and numbers[-1] == len(want) + 1
 
 
 def test_chunk_invariants(spark):

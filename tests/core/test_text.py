@@ -3,11 +3,13 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.functions.constants import STOP_WORDS
 from quillmesh.functions.hashing import hash_texts
+from quillmesh.functions.numbering import numbered
 
 
 def one(spark, expr, value):
@@ -57,3 +59,25 @@ def test_hash_equals_one_at_a_time(texts):
         return f"{b:08x}{a:08x}"
 
     assert hash_texts(texts) == [slow(t) for t in texts]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("n", [0, 1, 100_000])
+def test_numbers_are_dense_and_lose_no_row(spark, adaptive, n):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(n).select((F.col("id") * 7919 % 100_003).alias("k"), F.repeat(F.lit("wide "), 30).alias("text"))
+        got = numbered(rows, "number", "k")
+        assert sorted(got.columns) == ["k", "number", "text"]
+        r = got.agg(F.count("*").alias("n"), F.countDistinct("number").alias("d"), F.coalesce(F.max("number"), F.lit(0)).alias("m")).first()
+        assert (r["n"], r["d"], r["m"]) == (n, n, n)
+        order = got.select("k", (F.lag("k").over(Window.orderBy("number"))).alias("p"))
+        assert order.where("p > k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_long_lines_without_marks_are_read_once():
+    line = "word " * 100_000
+    assert T.sentences_of(line + "\nend.") == [("end.", len(line) + 1, len(line) + 5)]
