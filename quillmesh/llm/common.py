@@ -1,19 +1,19 @@
-"""Shared helpers: durable intermediate tables, Arrow batches and vectorised word hashing.
+"""Shared helpers: Arrow batches and vectorised word hashing; durable tables are the library's own.
 
 Words are maximal runs of characters other than space and U+0009 to U+000D.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.tables import Table, materialize, shared_dir  # noqa: F401
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD_GAP_CHARS = " \t\n\x0b\x0c\r"
 
@@ -21,47 +21,6 @@ _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-# ---------------------------------------------------------------- durable tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees, as the session names it in ``spark.checkpoint.dir``.
-
-    A session in one JVM that names none gets a temporary folder; a cluster that names none
-    is an error, as a machine's own folder would not be seen by the others.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if named:
-        return named.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-class Table:
-    """A DataFrame written as Parquet into the shared folder, which cuts its lineage."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/quillmesh/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    return Table(df, name).df
-
-
 # ---------------------------------------------------------------- Spark expressions
 
 

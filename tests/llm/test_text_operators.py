@@ -251,8 +251,8 @@ PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script
 
 def test_article_text():
     page = H.Page("h", "/a", H.lines_of(PAGE))
-    assert H.main_text(page, None) == "Head One & two. Three four"
-    assert H.main_text(page, page) == "Head One & two. Three four"
+    assert H.main_text(page, []) == "Head One & two. Three four"
+    assert H.main_text(page, [page]) == "Head One & two. Three four"
     assert H.lines_of("") == [] and H.lines_of("<p") == []
     assert [x.text for x in H.lines_of("a &lt;b&gt; x<i>y</i><p>z")] == ["a <b> xy", "z"]
 
@@ -277,11 +277,14 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
         ("<article><div class='article-header'><h1>Head</h1></div><p class='related'>Text</p><h2 class='section-header'>More</h2></article>", "Head Text More"),
         ("<article><p>Text</p><div class='big ad'>Buy</div><div id='comments'><article class='comment'>nice</article></div></article>", "Text"),
         ("<div class='site-header'>Name</div><div class='cookie-banner'>Agree</div><div role='search'>Find</div><p>Text</p><div class='ad-slot'>Buy</div>", "Text"),
+        ("<article><div class='entry-header'><h1>Head</h1></div><p class='search-notices'>Text</p><p class='ad'>More</p></article>", "Head Text More"),
+        ("<div>Intro</div><article><p>Text</p></article>", "Intro Text"),
+        ("<p>a<![CDATA[ b", "a b"),
         ("<article><p>Text</p></article><section class='comments'><article class='comment'>nice</article></section>", "Text"),
     ],
 )
 def test_wrappers_named_after_what_they_hold_are_kept(html, want):
-    assert H.main_text(H.Page("h", "/a", H.lines_of(html)), None) == want
+    assert H.main_text(H.Page("h", "/a", H.lines_of(html)), []) == want
 
 
 def test_mirrors_are_paired_with_the_next_different_page(spark):
@@ -301,6 +304,58 @@ def test_mirrors_are_paired_with_the_next_different_page(spark):
     assert long in got[5] and long in got[6]
 
 
+def test_long_alignments_are_halved(monkeypatch):
+    monkeypatch.setattr(H, "_CELLS", 40)
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 60))] for _ in range(2))
+        found = sorted(H.common_lines(a, b))
+        assert len(found) == plain_lcs(a, b)
+        rest = iter(b)
+        assert all(any(a[i] == y for y in rest) for i in found)
+
+
+def test_deep_pages_are_read_in_one_pass():
+    n = 30_000
+    assert [x.text for x in H.lines_of("<div>" * n + "</b>" * n + "deep" + "</div>" * n + "<p>end")] == ["deep", "end"]
+
+
+def site_pages(n):
+    """Pages whose boilerplate carries no telling names: only other pages of the host give it away."""
+    import random
+
+    rng = random.Random(1)
+    out = []
+    for i in range(n):
+        host = f"h{rng.randint(0, 4)}.org"
+        top, end = rng.choice(["Alpha site", "Beta site"]), f"Made by {host}"
+        out.append((i, f"http://{host}/{rng.choice('abc')}/{rng.randint(0, 40)}?v={i}", f"<body><div class='x1'>{top}</div><div><span>own words {i}</span></div><p>text of page {i} {rng.random()}</p><div class='x2'>{end}</div></body>"))
+    return out
+
+
+@pytest.mark.parametrize("partitions, block", [(1, 128), (5, 16), (3, 20)])
+def test_every_page_meets_its_nearest_pages_however_they_are_dealt(spark, partitions, block):
+    data = [*site_pages(150), (7, "http://h1.org/a/7", None), (None, "http://h1.org/a/7", "<p>no id</p>"), (None, None, "<p>no url</p>")]
+    near = 3
+    pages = sorted((((*H.host_and_path(u), k is None, k or 0), k, u, H.Page(*H.host_and_path(u), H.lines_of(h or ""))) for k, u, h in data), key=lambda x: x[0])
+    want = sorted((str(k), str(u), H.main_text(p, [x[3] for x in [*pages[max(0, i - near) : i], *pages[i + 1 : i + 1 + near]]])) for i, (_, k, u, p) in enumerate(pages))
+    table = spark.createDataFrame([(*d, "other") for d in data], "page_id long, url string, html string, host string").repartition(partitions)
+    got = sorted((str(r["page_id"]), str(r["url"]), r["text"]) for r in H.extract(table, near=near, block_pages=block).collect())
+    assert got == want
+
+
+def test_differencing_decides_on_pages_without_telling_names(spark):
+    data = site_pages(150)
+    table = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(table).collect()}
+    alone = {k: H.main_text(H.Page(*H.host_and_path(u), H.lines_of(h)), []) for k, u, h in data}
+    assert sum(got[k] != alone[k] for k in got) >= 145
+    assert all(f"text of page {k} " in t and f"own words {k}" in t for k, t in got.items())
+    assert sum("site" in t or "Made by" in t for t in got.values()) <= 5
+
+
 def test_records_are_json(spark):
     row = C.records_of_turns(spark.createDataFrame([(1, 0, "user", 'a" ')], "conv_id long, turn long, role string, text string")).first()
     assert json.loads(row["record"]) == {"messages": [{"role": "user", "content": 'a" '}]}
