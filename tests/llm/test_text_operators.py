@@ -7,6 +7,7 @@ import json
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -122,6 +123,65 @@ def test_contexts_find_what_no_base_pattern_knows(spark):
     assert P.learn(table.limit(0)) == {} and P.find(table.limit(0), {}).count() == 0
 
 
+def test_parts_of_an_address_may_have_any_number_of_zeros():
+    zeros = "0" * 30
+    assert P.span_list(P.base_spans(f"1.2.3.{zeros}4 and 1.2.3.{zeros}256 and 0.0.0.{zeros}")) == f"ip:0:{len(zeros) + 7},ip:{len(f'1.2.3.{zeros}4 and 1.2.3.{zeros}256 and ')}:{len(f'1.2.3.{zeros}4 and 1.2.3.{zeros}256 and 0.0.0.{zeros}')}"
+
+
+def test_names_and_handles_in_confident_contexts_are_found(spark):
+    texts = [f"please write dear friend user{i}@mail.example.org soon" for i in range(20)] + ["please write dear friend annette soon", "hello dear friend (ann_lee), bye", "a friend annette soon"]
+    texts += [f"go and see user{i}@mail.example.org now" for i in range(20)] + [f"go and see the{c} now" for c in "abcdefgh" * 3]
+    table = docs(spark, texts)
+    patterns = P.learn(table)
+    assert patterns["dear friend _"] == "email" and "and see _" not in patterns
+    got = {r["doc_id"]: r["spans"] for r in P.find(table, patterns).collect()}
+    at = texts[20].index("annette")
+    assert got[20] == f"email:{at}:{at + 7}" and got[21] == "email:19:26" and got[45] == ""
+
+
+def plain_patterns(edges, confidence=0.8, least=3):
+    """The scoring by dictionaries, to its fixed point."""
+    n, whole = defaultdict(float), defaultdict(float)
+    certain = {(i, k) for _, i, k, _ in edges if k}
+    for p, i, _, c in edges:
+        n[p, i] += c
+        whole[p] += c
+    score, kept = {x: 1.0 for x in certain}, None
+    while True:
+        hits = defaultdict(list)
+        for (p, i), c in n.items():
+            for (j, k), v in score.items():
+                if j == i:
+                    hits[p, k].append(c * v)
+        now = {pk: sum(v) / (whole[pk[0]] + 1) for pk, v in hits.items() if sum(v) >= least and len(v) >= least and sum(v) / (whole[pk[0]] + 1) >= confidence}
+        if kept is not None and set(now) == set(kept):
+            return {p: max((c, k) for (q, k), c in now.items() if q == p)[1] for p, _ in now}
+        kept, miss = now, defaultdict(lambda: 1.0)
+        for (p, i) in n:
+            for (q, k), c in now.items():
+                if q == p:
+                    miss[i, k] *= 1 - min(c, 0.999)
+        score = {x: 1.0 for x in certain} | {x: 1 - m for x, m in miss.items() if x not in certain}
+
+
+def test_pattern_scores_equal_the_plain_ones(spark):
+    rng = random.Random(9)
+    edges = [(f"p{rng.randint(0, 12)}", f"i{rng.randint(0, 40)}", rng.choice(["email", "email", "email", "phone", None]), rng.randint(1, 6)) for _ in range(260)]
+    edges += [("clear", f"c{i}", "phone", 2) for i in range(9)] + [("next", f"c{i}", None, 3) for i in range(9)] + [("clear", "new", None, 1)] + [("last", x, None, 5) for x in ("new", "c1", "c2", "c3")]
+    frame = spark.createDataFrame(edges, "pattern string, instance string, kind string, n long")
+    want = plain_patterns(edges)
+    assert P.accepted_patterns(frame) == want and want["last"] == "phone"
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = "call +1 (555) 010-2233 or 10.0.0.1 about 12 x" * 20_000 + "y" * 300_000
+    began = time.perf_counter()
+    assert sum(1 for _ in P.occurrences(text)) > 40_000
+    assert time.perf_counter() - began < 20
+
+
 def test_rare_contexts_stay_beside_many_other_seeds(spark):
     rare = [("member number _", f"k{i}", "secret", 1) for i in range(40)]
     hot = [("write to _", f"m{i}", "email", 1000) for i in range(400)]
