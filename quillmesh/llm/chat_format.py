@@ -2,18 +2,22 @@
 
 A record is a JSON object in any of several layouts (message lists, prompt and completion,
 instruction, input and output, ...). Its nested field paths, arrays written as ``[]``, are
-hashed; the hash selects a declarative mapping that says where the turns are. Mappings list
-required and optional paths, and every combination is fingerprinted beforehand; paths that no
-mapping knows are left out of the hash, so further fields never change the choice.
+hashed for each layout over that layout's own paths; a hash that is registered selects the
+declarative mapping that says where the turns are. Mappings list required and optional paths,
+and every combination is fingerprinted beforehand. Fields that a mapping does not know are no
+part of its hash, so they never change the choice; of several mappings that fit the first one
+in ``MAPPINGS`` is taken.
 
 Canonical turns are rendered with marks around each turn. Control strings of common templates
 inside a role or a text are broken by an escape character after their first character, which
 is undone exactly on reading; the loss mask is a list of spans (code points) over the
 formatted text, one for each assistant text.
 
-Defined results: a null record or one of an unknown layout has no turns and the empty text;
-null roles and texts are empty; non-text values are kept as JSON; turns with equal numbers
-are ordered by role and text; an empty table gives no rows.
+Defined results: a null record has no turns and the empty text; one of an unknown layout has
+neither, and is handed back whole in the ``unknown`` column; null roles and texts are empty;
+list elements that are no objects are turns without a role; non-text values are kept as JSON;
+turns with equal numbers are ordered by role and text; rows without a conv_id are one
+conversation; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,9 +45,10 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 class Mapping:
     """Where a layout keeps its turns.
 
-    ``turns`` names an array with ``role`` and ``text`` fields; otherwise ``fields`` lists
-    (role, names): a turn's text is the named top-level fields that are not empty, joined by
-    a blank line. ``aliases`` says whether roles are translated to the canonical names.
+    ``fields`` lists (role, names): a turn's text is the named top-level fields that are not
+    empty, joined by a blank line. ``turns`` names an array with ``role`` and ``text`` fields,
+    whose turns come after those of ``fields``. ``aliases`` says whether roles are translated
+    to the canonical names.
     """
 
     name: str
@@ -56,14 +61,16 @@ class Mapping:
     aliases: bool = True
 
 
+_SYSTEM = ("system", ("system",))
+#: In order of precedence: turn lists, then layouts of more required fields.
 MAPPINGS = (
-    Mapping("messages", ("messages[]",), ("messages[].role", "messages[].content"), turns="messages", role="role", text="content", aliases=False),
-    Mapping("conversations", ("conversations[]",), ("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value"),
-    Mapping("dialog", ("dialog[]",), ("dialog[].speaker", "dialog[].text"), turns="dialog", role="speaker", text="text"),
-    Mapping("prompt_completion", ("prompt",), ("completion", "system"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping("prompt_response", ("prompt", "response"), ("system",), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping("instruction", ("instruction",), ("input", "output", "system"), fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping("messages", ("messages[]",), ("messages[].role", "messages[].content", "system"), turns="messages", role="role", text="content", fields=(_SYSTEM,), aliases=False),
+    Mapping("conversations", ("conversations[]",), ("conversations[].from", "conversations[].value", "system"), turns="conversations", role="from", text="value", fields=(_SYSTEM,)),
+    Mapping("dialog", ("dialog[]",), ("dialog[].speaker", "dialog[].text", "system"), turns="dialog", role="speaker", text="text", fields=(_SYSTEM,)),
+    Mapping("prompt_response", ("prompt", "response"), ("system",), fields=(_SYSTEM, ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("instruction", ("instruction",), ("input", "output", "system"), fields=(_SYSTEM, ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("question_answer", ("question",), ("answer", "context"), fields=(("user", ("context", "question")), ("assistant", ("answer",)))),
+    Mapping("prompt_completion", ("prompt",), ("completion", "system"), fields=(_SYSTEM, ("user", ("prompt",)), ("assistant", ("completion",)))),
 )
 
 
@@ -76,21 +83,15 @@ def paths(value: object, at: str = "") -> set[str]:
     return {at} - {""}
 
 
-KNOWN_PATHS = frozenset(p for m in MAPPINGS for p in (*m.required, *m.optional))
-
-
-def fingerprint(found: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(found & KNOWN_PATHS)).encode()).hexdigest()[:16]
+def fingerprint(found: set[str], mapping: Mapping) -> str:
+    """The hash of the paths that a mapping knows."""
+    own = found.intersection((*mapping.required, *mapping.optional))
+    return hashlib.sha256("\n".join([mapping.name, *sorted(own)]).encode()).hexdigest()[:16]
 
 
 def registry() -> dict[str, Mapping]:
-    """Fingerprints of every combination of a mapping's optional paths; earlier mappings win."""
-    out: dict[str, Mapping] = {}
-    for m in MAPPINGS:
-        for n in range(len(m.optional) + 1):
-            for some in combinations(m.optional, n):
-                out.setdefault(fingerprint({*m.required, *some}), m)
-    return out
+    """Fingerprints of every combination of a mapping's optional paths."""
+    return {fingerprint({*m.required, *some}, m): m for m in MAPPINGS for n in range(len(m.optional) + 1) for some in combinations(m.optional, n)}
 
 
 REGISTRY = registry()
@@ -104,14 +105,13 @@ def canonical(record: object) -> tuple[str, list[tuple[str, str]]]:
     """(layout, turns) of a parsed record."""
     if not isinstance(record, dict):
         return "unknown", []
-    mapping = REGISTRY.get(fingerprint(paths(record)))
+    found = paths(record)
+    mapping = next(filter(None, (REGISTRY.get(fingerprint(found, m)) for m in MAPPINGS)), None)
     if mapping is None:
         return "unknown", []
-    if mapping.turns:
-        items = [x for x in record[mapping.turns] if isinstance(x, dict)]
-        turns = [(_text(x.get(mapping.role)), _text(x.get(mapping.text))) for x in items]
-    else:
-        turns = [(role, "\n\n".join(t for t in (_text(record.get(n)) for n in names) if t)) for role, names in mapping.fields if any(n in record for n in names)]
+    turns = [(role, "\n\n".join(t for t in (_text(record.get(n)) for n in names) if t)) for role, names in mapping.fields if any(n in record for n in names)]
+    for x in record[mapping.turns] if mapping.turns else ():
+        turns.append((_text(x.get(mapping.role)), _text(x.get(mapping.text))) if isinstance(x, dict) else ("", _text(x)))
     return mapping.name, [(ROLES.get(r, r) if mapping.aliases else r, t) for r, t in turns]
 
 
@@ -159,8 +159,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_records(records: DataFrame, record: str = "record", key: str = "conv_id") -> DataFrame:
-    """conv_id, layout, formatted text and loss mask of JSON records."""
-    fields = pa.schema([("conv_id", pa.int64()), ("layout", pa.string()), ("formatted", pa.string()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
+    """conv_id, layout, formatted text and loss mask of JSON records, and the records of no known layout."""
+    fields = pa.schema([("conv_id", pa.int64()), ("layout", pa.string()), ("formatted", pa.string()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64())), ("unknown", pa.string())])
 
     def parsed(text: str | None) -> object:
         try:
@@ -174,11 +174,11 @@ def format_records(records: DataFrame, record: str = "record", key: str = "conv_
             for text in batch.column(1).to_pylist():
                 layout, turns = canonical(parsed(text))
                 formatted, spans = render(turns)
-                rows.append((layout, formatted, [s for s, _ in spans], [e for _, e in spans]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], fields.field(i + 1).type) for i in range(4))], schema=fields)
+                rows.append((layout, formatted, [s for s, _ in spans], [e for _, e in spans], text if layout == "unknown" else None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], fields.field(i + 1).type) for i in range(5))], schema=fields)
 
     source = records.select(F.col(f"`{key}`").cast("long").alias("conv_id"), F.col(f"`{record}`").alias("record"))
-    return source.mapInArrow(run, "conv_id long, layout string, formatted string, loss_starts array<long>, loss_ends array<long>")
+    return source.mapInArrow(run, "conv_id long, layout string, formatted string, loss_starts array<long>, loss_ends array<long>, unknown string")
 
 
 def records_of_turns(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

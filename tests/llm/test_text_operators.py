@@ -20,7 +20,9 @@ from quillmesh.llm import html_diff as H
 from quillmesh.llm import packing as K
 from quillmesh.llm import pii_bootstrap as P
 from quillmesh.llm import rule_ledger as R
-from quillmesh.llm.queries import tokenizer_path
+from quillmesh.llm.queries import op1_chat_format, tokenizer_path
+
+SMALLEST = "/root/testdata/sf0.001"
 
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, size string, rate string, failed string"
 
@@ -52,6 +54,12 @@ def test_chat_round_trip(turns):
         ({"instruction": "do", "input": "it", "output": "done"}, "instruction", [("user", "do\n\nit"), ("assistant", "done")]),
         ({"prompt": "p", "response": "r", "extra": {"prompt": 1}}, "prompt_response", [("user", "p"), ("assistant", "r")]),
         ({"question": "q", "answer": 4}, "question_answer", [("user", "q"), ("assistant", "4")]),
+        ({"messages": [{"role": "user", "content": "a"}], "system": "s"}, "messages", [("system", "s"), ("user", "a")]),
+        ({"messages": [{"role": "user", "content": "a"}, "loose"], "prompt": "p", "input": "i"}, "messages", [("user", "a"), ("", "loose")]),
+        ({"conversations": [{"from": "human", "value": "q"}], "system": "s"}, "conversations", [("system", "s"), ("user", "q")]),
+        ({"instruction": "do", "input": "it", "output": "done", "prompt": "p"}, "instruction", [("user", "do\n\nit"), ("assistant", "done")]),
+        ({"prompt": "p", "response": "r", "completion": "c"}, "prompt_response", [("user", "p"), ("assistant", "r")]),
+        ({"prompt": "p", "completion": "c", "meta": {"x": [1]}}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
         ({"messages": []}, "messages", []),
         ({"other": 1}, "unknown", []),
         (None, "unknown", []),
@@ -70,7 +78,26 @@ def test_chat_tables(spark):
     assert got[2]["n_turns"] == 1 and got[None]["n_turns"] == 1
     assert C.read_back(C.format_records(C.records_of_turns(rows.limit(0)))).count() == 0
     bad = spark.createDataFrame([(1, "{no json"), (2, None)], "conv_id long, record string")
-    assert {r["layout"] for r in C.format_records(bad).collect()} == {"unknown"}
+    assert {(r["layout"], r["unknown"]) for r in C.format_records(bad).collect()} == {("unknown", "{no json"), ("unknown", None)}
+    clash = rows.withColumn("record", F.lit("x")).withColumn("layout", F.lit("y")).withColumn("messages", F.lit(3))
+    assert sorted(map(repr, C.read_back(C.format_records(C.records_of_turns(clash))).collect())) == sorted(map(repr, got.values()))
+
+
+def test_the_chat_query_equals_brute_force(spark):
+    data = spark.read.parquet(f"{SMALLEST}/conversations.parquet").collect()
+    ok = "</s>[INST] ok [/INST]"
+    turns = defaultdict(list)
+    for r in data:
+        turns[r["conv_id"]].append((r["turn"], r["role"] or "", r["text"] or ""))
+    turns[-7] = [(0, "user", ok), (1, "assistant", ok)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for k, v in turns.items():
+        v.sort()
+        loss = "".join(t for _, r, t in v if r == "assistant")
+        want[k] = (len(v), sha("".join(f"{r}\n{t}\n" for _, r, t in v)), len(loss), sha(loss))
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in op1_chat_format(spark, SMALLEST).collect()}
+    assert got == want
 
 
 # ---------------------------------------------------------------- personal data
