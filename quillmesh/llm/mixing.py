@@ -8,201 +8,188 @@ Newton steps on the dual need two sums per source, which Spark computes from cou
 source and size, so an iteration reads a small table and never the texts.
 
 Rates become whole copies by one threshold per source. Each document has a fixed uniform
-number from its id, and adding a shift to all of them moves the taken total monotonically;
-the shift that meets the target is found by three rounds of histograms. A source misses its
-target by about one document at most.
+number from its id and its text, and adding a shift to all of them moves the taken total
+monotonically; the shift that meets the target is found by three rounds of histograms. A
+source misses its target by about one document at most.
 
-The sources are the mix's dimension: ``max_sources`` bounds them, more raise an error, and
-only per-source sums (and 1024 histogram bins for each source) reach the driver.
+What is known of the sources (sizes, targets, multipliers, brackets, shifts) is a table with a
+row for each source that every step rewrites in the shared folder; the driver sees single
+numbers only, whatever the number of sources. Up to ``MAX_SENT`` sources that table is sent to
+the executors; more of them are joined by shuffle, each source dealt into ``SALT`` parts. Sums
+are exact (decimals and longs), so they do not depend on the order of rows.
 
 Defined results: a null or blank text has size 0, is never needed for a target and keeps one
-copy; null is a source of its own, last in order; repeated ids share their uniform number and
-so their copies; a source without words has target 0; an empty table gives an empty mix;
-columns of the input other than the added ones are kept.
+copy; null is a source of its own, last in order; rows without an id or with a repeated one
+are told apart by their texts, and rows equal in both are taken alike; a source without words
+has target 0; an empty table gives an empty mix; ``mixed`` keeps all columns of the input.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words_of
+from ..functions.numbering import numbered
+from .common import Table, materialize, n_words_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BINS = 1024
+#: So many sources at most are sent to the executors; more are joined by shuffle in so many parts.
+MAX_SENT, SALT = 100_000, 64
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Token targets: ``share`` of all sizes by weight, no source above ``most`` times its size."""
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, open_ = share * sum(sizes.values()), list(order)
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if unit * weight[s] >= most * sizes[s]]
-        if not full:
-            return out | {s: unit * weight[s] for s in open_}
-        for s in full:
-            out[s] = most * sizes[s]
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
-
-
-def _by_source(values: dict[str | None, float], default: float = 0.0) -> Column:
-    """A map lookup of the source column as one literal (bounded by max_sources)."""
-    known = {s: v for s, v in values.items() if s is not None}
-    null = F.lit(float(values.get(None, default)))
-    if not known:
-        return null
-    table = F.map_from_arrays(F.lit(list(known)), F.lit([float(v) for v in known.values()]))
-    return F.when(F.col("source").isNull(), null).otherwise(F.coalesce(F.try_element_at(table, F.col("source")), F.lit(default)))
-
-
-def _rate(size: Column, lam: Column, mean: Column, most: float) -> Column:
-    """Rate 1 at lambda 0; lambda beyond 700 stands for a source that is taken wholly."""
-    bias = -math.log(most - 1.0) if most != 2.0 else 0.0
-    return F.when(lam >= 700.0, F.lit(float(most))).otherwise(F.lit(float(most)) / (F.lit(1.0) + F.exp(-(F.lit(bias) + lam * size / mean))))
-
-
-def multipliers(counts: DataFrame, sizes: dict[str | None, int], goal: dict[str | None, float], mean: dict[str | None, float], most: float, tolerance: float = 1e-9, rounds: int = 60) -> dict[str | None, float]:
-    """The dual optimum for each source, by Newton steps kept inside a shrinking bracket."""
-    lam = {s: 0.0 for s in sizes}
-    low, high = {s: -1.0 for s in sizes}, {s: 1.0 for s in sizes}
-    closed = {s: False for s in sizes}, {s: False for s in sizes}
-    moving = {s for s in sizes if 0 < goal[s] < most * sizes[s]}
-    for s in sizes:
-        if sizes[s] and goal[s] >= most * sizes[s]:
-            lam[s] = 1000.0
+def _sized_columns(text: str, source: str, key: str) -> list[Column]:
+    """key, source, its name in joins (never null), size and the text's hash."""
+    name = F.col(f"`{source}`").cast("string")
+    return [F.col(f"`{key}`").alias("key"), name.alias("source"), F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("part"), n_words_of(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("mark")]
+
+
+def with_sources(rows: DataFrame, sources: DataFrame, few: bool, *spread: str) -> DataFrame:
+    """The rows joined with the table of sources; a hot source's rows are dealt by the columns ``spread``."""
+    if few:
+        return rows.join(F.broadcast(sources), "part")  # at most MAX_SENT rows
+    salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALT)).cast("int")).join(salted, ["part", "_salt"]).drop("_salt")
+
+
+# ---------------------------------------------------------------- targets
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """Adds target to (part, source, total): ``share`` of all sizes by weight, no source above ``most`` times its size.
+
+    The unit of weight that is left for the open sources is found by turns with the sources
+    that it fills; every turn is one aggregate.
+    """
+    ranked = materialize(numbered(sources.withColumn("last", F.col("source").isNull()), "rank", "last", "source"), "mix-ranked")
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))).cast("int"))
+    ranked = ranked.withColumn("weight", weight).drop("last", "rank")
+    full = ranked.agg(F.sum("total").alias("n")).first()["n"] or 0
+    unit, filled = -1.0, -1
+    while True:
+        # What an earlier unit filled stays filled, as units only grow.
+        closed = F.lit(unit) * F.col("weight") >= F.col("total") * most if unit >= 0 else F.lit(False)
+        row = ranked.agg(F.coalesce(F.sum(F.when(closed, F.col("total"))), F.lit(0)).alias("taken"), F.sum(F.when(~closed, F.col("weight"))).alias("weights"), F.count_if(closed).alias("n")).first()
+        if row["n"] == filled or not row["weights"]:
+            break
+        unit, filled = (share * full - most * row["taken"]) / row["weights"], row["n"]
+    capped = F.col("total") * F.lit(float(most))
+    return ranked.withColumn("target", F.least(capped, F.lit(max(unit, 0.0)) * F.col("weight")) if row["weights"] else capped).drop("weight")
+
+
+# ---------------------------------------------------------------- rates
+
+
+def _rate(most: int) -> Column:
+    """The rate by size, lam and mean: 1 at lambda 0; lambda beyond 700 stands for a source that is taken wholly."""
+    bias = -math.log(most - 1.0) if most != 2 else 0.0
+    return F.when(F.col("lam") >= 700.0, F.lit(float(most))).otherwise(F.lit(float(most)) / (F.lit(1.0) + F.exp(-(F.lit(bias) + F.col("lam") * F.col("size") / F.col("mean")))))
+
+
+def multipliers(counts: DataFrame, sources: DataFrame, few: bool, most: int, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
+    """Adds the dual optimum ``lam`` to the sources, by Newton steps kept inside a shrinking bracket."""
+    capped = F.col("target") >= F.col("total") * most
+    state = sources.withColumn("moving", (F.col("target") > 0) & ~capped).withColumn("lam", F.when(capped & (F.col("total") > 0), 1000.0).otherwise(0.0))
+    state = Table(state.withColumns({"low": F.lit(-1.0), "high": F.lit(1.0), "low_known": F.lit(False), "high_known": F.lit(False)}), "mix-state")
+    weighted = F.col("n") * F.col("size") * F.col("rate")
+    exact = lambda c: F.sum(c.cast("decimal(30,6)")).cast("double")
     for _ in range(rounds):
-        if not moving:
+        if not state.df.where("moving").limit(1).count():
             break
-        rate = _rate(F.col("size"), _by_source(lam), _by_source(mean, 1.0), most)
-        x = F.col("size") / _by_source(mean, 1.0)
-        sums = counts.groupBy("source").agg(
-            F.sum(F.col("n") * F.col("size") * rate).alias("taken"),
-            F.sum(F.col("n") * F.col("size") * x * rate * (F.lit(1.0) - rate / F.lit(float(most)))).alias("slope"),
-        )
-        for row in sums.collect():  # one row for each source
-            s = row["source"]
-            if s not in moving:
-                continue
-            off = row["taken"] - goal[s]
-            if abs(off) <= tolerance * max(goal[s], 1.0):
-                moving.discard(s)
-                continue
-            if off > 0:
-                high[s], closed[1][s] = lam[s], True
-            else:
-                low[s], closed[0][s] = lam[s], True
-            step = lam[s] - off / row["slope"] if row["slope"] > 0 else math.inf
-            if not closed[0][s]:
-                low[s] = min(low[s], lam[s]) * 2 if off > 0 else low[s]
-            if not closed[1][s]:
-                high[s] = max(high[s], lam[s]) * 2 if off < 0 else high[s]
-            lam[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-            if high[s] - low[s] < 1e-13 * max(1.0, abs(lam[s])):
-                moving.discard(s)
-    return lam
-
-
-def _shifts(docs: DataFrame, goal: dict[str | None, float], most: int) -> dict[str | None, float]:
-    """For each source the shift of the uniform numbers whose whole copies come nearest to the target.
+        moving = state.df.where("moving").select("part", "lam", "mean")
+        rated = with_sources(counts, moving, few, "size").withColumn("rate", _rate(most))
+        sums = rated.groupBy("part").agg(exact(weighted).alias("taken"), exact(weighted * F.col("size") / F.col("mean") * (F.lit(1.0) - F.col("rate") / F.lit(float(most)))).alias("slope"))
+        over, under = F.col("off") > 0, F.col("off") < 0
+        step = state.df.where("moving").join(sums, "part").withColumn("off", F.col("taken") - F.col("target")).withColumn("done", F.abs("off") <= tolerance * F.greatest("target", F.lit(1.0)))
+        step = step.withColumns({"high": F.when(over, F.col("lam")).otherwise(F.col("high")), "high_known": F.col("high_known") | over, "low": F.when(over, F.col("low")).otherwise(F.col("lam")), "low_known": F.col("low_known") | ~over})
+        step = step.withColumns({"low": F.when(~F.col("low_known") & over, F.least("low", "lam") * 2).otherwise(F.col("low")), "high": F.when(~F.col("high_known") & under, F.greatest("high", "lam") * 2).otherwise(F.col("high"))})
+        newton = F.col("lam") - F.col("off") / F.when(F.col("slope") > 0, F.col("slope"))
+        inside = F.coalesce((F.col("low") < newton) & (newton < F.col("high")), F.lit(False))
+        step = step.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2))
+        step = step.withColumn("moving", ~F.col("done") & (F.col("high") - F.col("low") >= 1e-13 * F.greatest(F.lit(1.0), F.abs("lam"))))
+        after = Table(step.select(*state.df.columns).unionByName(state.df.where("not moving")), "mix-state")
+        state.drop()
+        state = after
+    return state.df.drop("moving", "low", "high", "low_known", "high_known")
+
+
+# ---------------------------------------------------------------- whole copies
+
+
+def shifts(rated: DataFrame, sources: DataFrame, few: bool, most: int) -> DataFrame:
+    """(part, shift): the shift of the uniform numbers whose whole copies come nearest to the source's target.
 
     Copy number k of a document is taken from shift k - rate - u on; the sums of sizes by
     those shifts are histogrammed over ever smaller intervals.
     """
-    events = docs.where(F.col("size") > 0).select("source", "size", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: k - F.col("rate") - F.col("u"))).alias("at"))
-    start, width = {s: -float(most) - 1.0 for s in goal}, 2.0 * most + 2.0
-    below = {s: 0.0 for s in goal}
-    best = dict(start)
+    start, width = -float(most) - 1.0, 2.0 * most + 2.0
+    state = sources.where((F.col("target") > 0) & (F.col("target") < F.col("total") * most)).select("part", "target", F.lit(start).alias("start"), F.lit(0).cast("long").alias("below"), F.lit(start).alias("shift"))
+    state = materialize(state, "mix-shifts")
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: k - F.col("rate") - F.col("u")))
+    events = rated.where("size > 0").select("part", "key", "mark", "size", at.alias("at"))
     for _ in range(3):
         step = width / BINS
-        bin_ = F.floor((F.col("at") - _by_source(start)) / F.lit(step)).cast("int")
-        rows = events.select("source", "size", bin_.alias("bin")).where((F.col("bin") >= 0) & (F.col("bin") < BINS)).groupBy("source", "bin").agg(F.sum("size").alias("n")).collect()  # 1024 rows for each source at most
-        sums: dict[str | None, dict[int, int]] = {}
-        for r in rows:
-            sums.setdefault(r["source"], {})[r["bin"]] = r["n"]
-        for s in goal:
-            total, at = below[s], None
-            for b in sorted(sums.get(s, {})):
-                if total + sums[s][b] > goal[s]:
-                    at = b
-                    break
-                total += sums[s][b]
-            if at is None:  # the whole interval stays below the target
-                best[s] = start[s] + width
-                start[s], below[s] = start[s] + width, total
-                continue
-            inside = sums[s][at]
-            best[s] = start[s] + (at + (1 if goal[s] - total > inside / 2 else 0)) * step
-            start[s], below[s] = start[s] + at * step, total
-        width = step
-    return best
+        dealt = with_sources(events, state.select("part", "start"), few, "key", "mark").withColumn("bin", F.floor((F.col("at") - F.col("start")) / F.lit(step)).cast("int"))
+        bins = dealt.where((F.col("bin") >= 0) & (F.col("bin") < BINS)).groupBy("part", "bin").agg(F.sum("size").alias("n"))
+        running = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("bin")))  # BINS rows for each source at most
+        crossed = running.join(state.select("part", "target", "below"), "part").groupBy("part").agg(
+            F.min(F.when(F.col("below") + F.col("upto") > F.col("target"), F.struct("bin", "n", "upto"))).alias("x"), F.max("upto").alias("whole")
+        )
+        total = F.col("below") + F.col("x.upto") - F.col("x.n")
+        near = F.col("x.bin") + F.when(F.col("target") - total > F.col("x.n") / 2, 1).otherwise(0)
+        found = state.join(crossed, "part", "left").select(
+            "part",
+            "target",
+            F.when(F.col("x").isNull(), F.col("start") + width).otherwise(F.col("start") + F.col("x.bin") * step).alias("start"),
+            F.when(F.col("x").isNull(), F.col("below") + F.coalesce("whole", F.lit(0))).otherwise(total).cast("long").alias("below"),
+            F.when(F.col("x").isNull(), F.col("start") + width).otherwise(F.col("start") + near * step).alias("shift"),
+        )
+        state, width = materialize(found, "mix-shifts"), step
+    return state.select("part", "shift")
 
 
 class Plan:
-    """The solved mix: per source the target, the multiplier and the shift, bounded by ``max_sources``."""
+    """The solved mix: a table of sources with target, multiplier and shift."""
 
-    def __init__(self, sizes, mean, goal, lam, shift, most: int):
-        self.sizes, self.mean, self.goal, self.lam, self.shift, self.most = sizes, mean, goal, lam, shift, most
+    def __init__(self, sources: DataFrame, few: bool, most: int):
+        self.sources, self.few, self.most = sources, few, most
 
     def rated(self, rows: DataFrame) -> DataFrame:
-        """Adds u and rate to rows that have key, source and size."""
-        u = F.pmod(F.xxhash64(F.col("key"), F.lit(20240229)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
-        rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(F.col("size"), _by_source(self.lam), _by_source(self.mean, 1.0), float(self.most)))
-        return rows.withColumn("u", u).withColumn("rate", rate)
+        """Adds the source's columns, u and rate to rows that have key, part, size and mark."""
+        u = F.pmod(F.xxhash64(F.col("key"), F.col("mark"), F.lit(20240229)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+        rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(self.most))
+        return with_sources(rows, self.sources.drop("source"), self.few, "key", "mark").withColumn("u", u).withColumn("rate", rate)
 
     def applied(self, rows: DataFrame) -> DataFrame:
-        """Adds source_size, target, rate, copies and taken to rows that have key, source and size."""
-        copies = F.least(F.lit(self.most), F.greatest(F.lit(0), F.floor(F.col("rate") + F.col("u") + _by_source(self.shift)).cast("int")))
-        rounded = {s: float(s in self.shift) for s in self.goal}
-        copies = F.when(F.col("size") == 0, F.lit(1)).when(_by_source(rounded) > 0, copies).otherwise(F.round("rate").cast("int"))
-        return (
-            self.rated(rows)
-            .withColumn("copies", copies)
-            .withColumn("source_size", _by_source({s: float(n) for s, n in self.sizes.items()}).cast("long"))
-            .withColumn("target", _by_source(self.goal))
-            .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        )
-
-
-def _sized(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
-    return docs.select(*_sized_columns(text, source, key))
+        """Adds source_size, target, rate, copies and taken."""
+        shifted = F.least(F.lit(self.most), F.greatest(F.lit(0), F.floor(F.col("rate") + F.col("u") + F.col("shift")).cast("int")))
+        copies = F.when(F.col("size") == 0, F.lit(1)).when(F.col("shift").isNotNull(), shifted).otherwise(F.round("rate").cast("int"))
+        return self.rated(rows).withColumn("copies", copies).withColumn("source_size", F.col("total")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
-def solve(base: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, max_sources: int = 100_000) -> Plan:
-    """The plan for rows of key, source and size (a written table: it is read once per iteration)."""
-    counts = materialize(base.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
-    rows: list[Row] = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("docs")).limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sizes = {r["source"]: int(r["total"]) for r in rows}
-    mean = {r["source"]: max(r["total"] / r["docs"], 1e-9) for r in rows}
-    goal = targets(sizes, weights, share, float(most))
-    lam = multipliers(counts.where(F.col("size") > 0), sizes, goal, mean, float(most))
-    plan = Plan(sizes, mean, goal, lam, {}, most)
-    open_ = {s: g for s, g in goal.items() if 0 < g < most * sizes[s]}
-    plan.shift = _shifts(plan.rated(base), open_, most) if open_ else {}
-    return plan
+def solve(base: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, max_sent: int = MAX_SENT) -> Plan:
+    """The plan for rows of key, source, part, size and mark (a written table: it is read once per iteration)."""
+    counts = materialize(base.groupBy("part", "source", "size").agg(F.count("*").alias("n")), "mix-counts")
+    sources = materialize(counts.groupBy("part", "source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("docs")), "mix-sources")
+    few = sources.limit(max_sent + 1).count() <= max_sent
+    sized = targets(sources, weights, share, most).withColumn("mean", F.greatest(F.col("total") / F.col("docs"), F.lit(1e-9)))
+    solved = multipliers(counts.where("size > 0").drop("source"), sized, few, most)
+    rated = materialize(Plan(solved, few, most).rated(base).select("key", "mark", "part", "size", "u", "rate"), "mix-rated")
+    known = materialize(solved.join(shifts(rated, solved, few, most), "part", "left"), "mix-plan")
+    return Plan(known, few, most)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **settings) -> DataFrame:
     """The documents' keys with size, source_size, target, rate, copies and taken (copies times size)."""
-    base = materialize(_sized(docs, text, source, key), "mix-sizes")
+    base = materialize(docs.select(*_sized_columns(text, source, key)), "mix-sizes")
     out = solve(base, **settings).applied(base)
     return out.select(F.col("key").alias(key), "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **settings) -> DataFrame:
     """The mix itself: every row as often as the mix takes it, with the input's columns."""
-    plan = solve(materialize(_sized(docs, text, source, key), "mix-sizes"), **settings)
-    rows = docs.select(F.struct("*").alias("row"), *[c for c in _sized_columns(text, source, key)])
+    plan = solve(materialize(docs.select(*_sized_columns(text, source, key)), "mix-sizes"), **settings)
+    rows = docs.select(F.struct("*").alias("row"), *_sized_columns(text, source, key))
     return plan.applied(rows).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
-
-
-def _sized_columns(text: str, source: str, key: str) -> list[Column]:
-    return [F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), n_words_of(F.col(f"`{text}`")).alias("size")]

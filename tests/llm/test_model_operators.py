@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh.llm import dart_minhash as D
 from quillmesh.llm import mixing as M
@@ -202,31 +204,61 @@ def test_calibrated_count_keeps_its_recall():
 # ---------------------------------------------------------------- mixing
 
 
-@pytest.mark.parametrize("sizes, want", [({"a": 100, "b": 100, "c": 100}, {"a": 200.0, "b": 250 / 3, "c": 500 / 3}), ({"a": 0, None: 10}, {"a": 0.0, None: 15.0}), ({}, {})])
-def test_targets(sizes, want):
-    got = M.targets(sizes)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+def plain_targets(sizes, share=1.5, most=2.0):
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(order)}
+    out, left = {}, share * sum(sizes.values())
+    while len(out) < len(order):
+        unit = left / sum(weight[s] for s in order if s not in out)
+        full = [s for s in order if s not in out and unit * weight[s] >= most * sizes[s]]
+        if not full:
+            return out | {s: unit * weight[s] for s in order if s not in out}
+        out |= {s: most * sizes[s] for s in full}
+        left = share * sum(sizes.values()) - sum(out.values())
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 0, None: 10}, {}, {"é": 5, "z": 1000, "Z": 3, None: 700, "": 80}, {f"s{i}": i * i for i in range(40)}, {"a": 0}])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame([("" if s is None else "=" + s, s, n) for s, n in sizes.items()], "part string, source string, total long")
+    got = {r["source"]: r["target"] for r in M.targets(rows, M.WEIGHTS, 1.5, 2).collect()}
+    want = plain_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 * max(1, want[k]) for k in want)
 
 
 def test_mix_meets_its_targets(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), rng.choice(["a", "b", "c", "c", "c", None]), "x") for i in range(600)]
-    rows += [(600, None, "a", "x"), (601, "", "d", "x"), (600, " ", "a", "x")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string, rate string")
+    rows += [(600, None, "a", "x"), (601, "", "d", "x"), (600, " ", "a", "x"), (602, "w " * 3000, "c", "x"), (603, "tie", "b", "x"), (603, "tie", "b", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, rate string").withColumn("part", F.lit(1)).withColumn("_salt", F.lit(2)).withColumn("target", F.lit("t"))
     got = [r.asDict() for r in M.mix(table).collect()]
-    again = [r.asDict() for r in M.mix(table.repartition(5)).collect()]
+    again = [r.asDict() for r in M.mix(table.repartition(5), max_sent=1).collect()]
     key = lambda r: (r["doc_id"], r["size"], r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
-    for s in ("a", "b", "c", None):
+    sizes = {s: sum(r["size"] for r in got if r["source"] == s) for s in {r["source"] for r in got}}
+    want = plain_targets(sizes)
+    for s in sizes:
         own = [r for r in got if r["source"] == s]
-        assert {r["source_size"] for r in own} == {sum(r["size"] for r in own)}
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 61
-        assert abs(sum(r["rate"] * r["size"] for r in own) - own[0]["target"]) <= 1e-3 * own[0]["target"] + 1e-6
+        assert {r["source_size"] for r in own} == {sizes[s]} and abs(own[0]["target"] - want[s]) < 1e-6
+        assert abs(sum(r["taken"] for r in own) - want[s]) <= max(r["size"] for r in own)
+        # The one exponential tilt of the odds that meets the target.
+        if 0 < want[s] < 2 * sizes[s]:
+            low, high = -50.0, 50.0
+            for _ in range(200):
+                tilt = (low + high) / 2
+                rates = [2 / (1 + math.exp(-min(max(tilt * r["size"] * len(own) / sizes[s], -700), 700))) for r in own]
+                low, high = (low, tilt) if sum(x * r["size"] for x, r in zip(rates, own, strict=True)) > want[s] else (tilt, high)
+            assert all(abs(x - r["rate"]) < 1e-5 for x, r in zip(rates, own, strict=True) if r["size"])
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     assert M.mixed(table).count() == sum(r["copies"] for r in got) and M.mixed(table).columns == table.columns
-    assert M.mix(table.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        M.mix(table, max_sources=2)
+    assert M.mix(table.limit(0)).count() == 0 and M.mixed(table.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_meet_their_targets(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 2 else 5, " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 40))), "abc"[i % 3]) for i in range(900)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source", "target").agg(F.sum("taken").alias("n")).collect()
+    assert len(got) == 3 and all(abs(r["n"] - r["target"]) <= 40 for r in got)
 
 
 # ---------------------------------------------------------------- pipeline
