@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import Table, materialize, shared_dir  # noqa: F401
@@ -49,6 +49,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+# ---------------------------------------------------------------- joins with hot keys
+
+
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """A join of ``many`` rows with a table that has a row for each key, hot keys dealt into parts.
+
+    A key with more than 1 / ``parts`` of the ``total`` rows is hot; there are fewer than
+    ``parts`` of them, so they are sent to the executors. A hot key's rows are dealt by the
+    columns ``by``, and its row of the other table is sent to each of its parts.
+    """
+    hot = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total / parts, 32))
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") * F.lit(parts / max(total, 1))).cast("int").alias("_parts")))  # fewer than ``parts`` rows
+    n = F.coalesce("_parts", F.lit(1))
+    left = many.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*by), n).cast("int")).drop("_parts")
+    right = one.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

@@ -14,10 +14,11 @@ coordinate with the probability of their similarity.
 Links: texts with equal shingles are one class at once. Signatures are cut into bands; texts
 that agree on a band are compared, exactly and on whole texts, with the band's first text.
 Where a band's texts then still fall into several components, a task takes the band (or two
-blocks of a large one) and tries its pairs across components, most equal signatures first;
-only pairs that join components leave the task and are compared exactly once more, so chains
-of edits of any length close up without a list of their pairs. Components of the links are
-the classes.
+blocks of a large one) and tries its pairs across components exactly, most equal signatures
+first; only pairs that join components leave the task, so chains of edits of any length close
+up without a list of their pairs. Components of the links are the classes.
+Keys with a great share of the rows (a digest, a band, a text, a component, a class) are dealt
+over several tasks in every join. Intermediate tables are deleted after use.
 The bands find a pair of similarity 0.8 with probability 1 - (1 - 0.8**rows)**bands.
 
 Defined results: null, empty and blank texts have no shingles and are classes of their own;
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, materialize, mix, pieces, shingle_hashes, span_hashes, texts_in, word_bounds
+from .common import Table, hot_join, joined, materialize, mix, pieces, shingle_hashes, span_hashes, texts_in, word_bounds
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -139,62 +140,83 @@ def _signed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, digest long, digest2 long, weight long, bands array<long>")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their exact similarity j, from the whole texts (id, t)."""
-    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
+def _compared(pairs: DataFrame, texts: DataFrame, per_task: int = 4096) -> DataFrame:
+    """The pairs (a, b) with their exact similarity j, from the whole texts (id, t).
+
+    A text a is sent once, ahead of the texts it is compared with; a text with many partners
+    is sent once to each of the parts that these are dealt into.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(per_task)).cast("int").alias("parts"))
+    named = texts.select("id", "t")
+    heads = parts.join(named, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "t")
+    total = pairs.count()
+    dealt = hot_join(pairs, parts, ["a"], ["b"], total).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    rows = hot_join(dealt, named.select(F.col("id").alias("b"), "t"), ["b"], ["a"], total).select("a", "part", "b", "t")
+    rows = heads.union(rows).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("j", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in pieces(pieces(batches, "tb"), "ta"):
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            j = []
-            bags = shingles([t or "" for t in tb])
-            for x, t, bag in zip(a, ta, bags, strict=True):
-                if x != last:
-                    last, held = x, np.sort(strips(shingles([t or ""])[0]))
-                j.append(similarity(held, np.sort(strips(bag)) if len(bag) else bag))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], schema=fields)
+        held = np.empty(0, np.uint64)
+        for batch in pieces(batches, "t", 2 << 20):
+            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            out = []
+            for x, y, bag in zip(a, b, shingles(texts_in(batch, "t")), strict=True):
+                own = np.sort(strips(bag)) if len(bag) else bag
+                if y is None:
+                    held = own
+                else:
+                    out.append((x, y, similarity(held, own)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(fields)], schema=fields)
 
     return rows.mapInArrow(run, "a long, b long, j double")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, block: int = 512) -> DataFrame:
     """doc_id, class_id (the smallest id of its class), class_size, kept (one document of each class)."""
-    signed = materialize(_signed(docs, text, key), "signed")
-    same = signed.where("weight > 0").groupBy("digest", "digest2", "weight").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = materialize(same, "representatives")
-    member = signed.where("weight > 0").select("doc_id", "digest", "digest2", "weight").join(reps.select("digest", "digest2", "weight", "rep"), ["digest", "digest2", "weight"]).select("doc_id", "rep").distinct()
+    made: list[Table] = []
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        made.append(Table(df, name))
+        return made[-1].df
+
+    signed = stored(_signed(docs, text, key), "signed")
+    digest = ["digest", "digest2", "weight"]
+    full = signed.where("weight > 0")
+    reps = stored(full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
+    member = hot_join(full.select("doc_id", *digest), reps.select(*digest, "rep"), digest, ["doc_id"], full.count()).select("doc_id", "rep").distinct()
 
     banded = reps.select("rep", F.explode("bands").alias("band"))
     first = banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    shared = materialize(banded.join(first, "band").select("band", "a", F.col("rep").alias("b")), "shared-bands")
+    shared = stored(hot_join(banded, first, ["band"], ["rep"], BANDS * reps.count()).select("band", "a", F.col("rep").alias("b")), "shared-bands")
     wanted = shared.select(F.col("b").alias("id")).distinct()
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).join(wanted, "id", "left_semi")
-    texts = materialize(texts.groupBy("id").agg(F.min("t").alias("t")), "near-texts")
+    texts = stored(texts.groupBy("id").agg(F.min("t").alias("t")), "near-texts")
 
-    judged = materialize(_compared(shared.where("a <> b").select("a", "b").distinct(), texts), "judged")
+    pairs = stored(shared.where("a <> b").select("a", "b").distinct(), "pairs")
+    judged = stored(_compared(pairs, texts), "judged")
     links = judged.where(F.col("j") >= threshold).select("a", "b")
     roots = components(links)
-    open_ = _open(shared, roots)
-    found = materialize(_linked_inside(open_, texts, threshold, block).distinct(), "inside-bands")
+    open_ = stored(_open(shared, roots), "open-bands")
+    found = stored(_linked_inside(open_, texts, threshold, block).distinct(), "inside-bands")
     if found.limit(1).count():
-        links = links.union(materialize(_compared(found, texts), "judged-inside").where(F.col("j") >= threshold).select("a", "b"))
-        roots = components(links)
+        roots = components(links.union(found))
     classes = (
         member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
         .union(signed.where("weight = 0").select("doc_id", F.col("doc_id").alias("class_id")).distinct())
         .groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     )
+    classes = materialize(classes, "classes")
+    for table in made:
+        table.drop()
     sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return classes.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return hot_join(classes, sizes, ["class_id"], ["doc_id"], classes.count()).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, b, root) of the bands whose texts fall into several components."""
+    """(band, b, root, n) of the bands whose texts fall into several components."""
     rooted = shared.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("band", "b", F.coalesce("root", "b").alias("root"))
     several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n")
-    return materialize(rooted.join(several, "band"), "open-bands")
+    return hot_join(rooted, several, ["band"], ["b"], shared.count())
 
 
 def _least_agreement(k: int, threshold: float, lost: float = 1e-6) -> int:
@@ -246,7 +268,7 @@ def forest(ids: np.ndarray, roots: np.ndarray, side: np.ndarray, sig: np.ndarray
     for i in np.argsort(-c, kind="stable"):
         x, y = int(a[i]), int(b[i])
         gx, gy = find(group[x]), find(group[y])
-        if gx != gy and similarity(sets[x], sets[y]) >= threshold - 1e-4:
+        if gx != gy and similarity(sets[x], sets[y]) >= threshold:
             parent[gx] = gy
             out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
     return out
@@ -265,8 +287,8 @@ def _linked_inside(open_: DataFrame, texts: DataFrame, threshold: float, block:
             bags = [np.sort(b) for b in shingles(texts_in(batch, "t"))]
             sig = signatures(bags)
             own = band_hashes(sig)
-            short = [np.unique((strips(b) >> np.uint64(32)).astype(np.uint32)).tobytes() for b in bags]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(short, pa.binary())], schema=described)
+            whole = [np.sort(strips(b)).tobytes() if len(b) else b"" for b in bags]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(whole, pa.binary())], schema=described)
 
     wanted = open_.select(F.col("b").alias("id")).distinct()
     about = materialize(texts.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(describe, "b long, sig binary, own binary, strips binary"), "described")
@@ -281,7 +303,7 @@ def _linked_inside(open_: DataFrame, texts: DataFrame, threshold: float, block:
         side = np.array(mine)
         if len(ids) < 2 or len(set(roots)) < 2:
             return []
-        return forest(np.array(ids), np.array(roots), side, np.stack([np.frombuffer(x, np.uint32) for x in sig]), np.stack([np.frombuffer(x, np.int64) for x in own]), band, [np.frombuffer(x, np.uint32) for x in sets], threshold)
+        return forest(np.array(ids), np.array(roots), side, np.stack([np.frombuffer(x, np.uint32) for x in sig]), np.stack([np.frombuffer(x, np.int64) for x in own]), band, [np.frombuffer(x, np.uint64) for x in sets], threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []

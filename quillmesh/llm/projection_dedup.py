@@ -9,11 +9,16 @@ that such a pair reaches with probability ``recall``. Pairs that reach it are ve
 their cosine in double precision.
 
 Vectors are compared only inside a label. Equal vectors are one row with a count. A label's
-rows are dealt into blocks of about ``block`` rows, a task takes two blocks, and it returns
-sums of links per row and a spanning forest instead of the pairs, so a group of near copies
-of any size adds at most one row for each of its vectors to a task. Comparing all rows of a
-label with windows is quadratic in the label's size by nature, at a fraction of the cost of
-comparing whole vectors.
+rows are dealt into blocks of about ``block`` rows; a task sorts the projections of two blocks,
+counts collisions of their rows, and returns sums of links per row and a spanning forest
+instead of the pairs, so a group of near copies of any size adds at most one row for each of
+its vectors to a task.
+
+A window holds a fixed share of a label's rows (0.22 of them for vectors in all directions at
+the default width), so counting is quadratic in the label's size by nature, and a table of all
+collisions would be larger still; that is why counts never leave a task. The blocks bound what
+a task holds, and a row is sent once for each block of its label. Counting costs more than
+multiplying all vectors of 64 components would: it is the method asked for, not the fastest.
 
 Defined results: a null label, a null or zero vector, one with null or non-finite components
 and one of length zero link with nothing; vectors of different length do not link; equal
@@ -32,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, materialize
+from .common import Table, hot_join, materialize
 from .components import components
 
 COSINE = 0.93
@@ -111,7 +116,7 @@ def linked(x: np.ndarray, weight: np.ndarray, y: np.ndarray | None, other: np.nd
     return (nx + ny, ny, a, b) if same else (nx, ny, a, b)
 
 
-def near_duplicates(vectors: DataFrame, embedding: str = "embedding", label: str = "label", key: str = "vec_id", threshold: float = COSINE, m: int = 40, window: float = 0.5, recall: float = 0.995, block: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, embedding: str = "embedding", label: str = "label", key: str = "vec_id", threshold: float = COSINE, m: int = 20, window: float = 0.4, recall: float = 0.995, block: int = 2048) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id, kept for every vector."""
     e = F.col("e")
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{embedding}`").cast("array<double>").alias("e"))
@@ -150,9 +155,10 @@ def near_duplicates(vectors: DataFrame, embedding: str = "embedding", label: str
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = groups.join(links, "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    known = known.select("label", "e", "low", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    known = known.select("label", "e", "rep", "low", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    known = materialize(known, "vector-roots")
     names = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = known.join(names, "root").select("label", "e", "n_links", "component_id")
-    linked_rows = good.join(known, ["label", "e"]).select("vec_id", "n_links", "component_id")
+    known = hot_join(known, names, ["root"], ["rep"], known.count()).select("label", "e", "n_links", "component_id")
+    linked_rows = hot_join(good, known, ["label", "e"], ["vec_id"], good.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_rows.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
