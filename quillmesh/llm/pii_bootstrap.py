@@ -30,6 +30,7 @@ import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Collection, Iterable, Iterator
+from functools import cached_property
 from itertools import repeat
 
 import pyarrow as pa
@@ -103,12 +104,14 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def secrets(text: str) -> list[tuple[int, str, int]]:
-    """Long unbroken tokens that mix letters and digits; only texts with digits are searched."""
+    """Long unbroken tokens that mix letters and digits; only texts with a long word are searched."""
+    if max(map(len, text.split()), default=0) < 32:
+        return []
     return [(m.start(), SECRET, m.end()) for m in _SECRET.finditer(text)]
 
 
-def _seeds(text: str) -> list[tuple[int, str, int]]:
-    found = base_spans(text)
+def _seeds(text: str, base: list[tuple[int, str, int]] | None = None) -> list[tuple[int, str, int]]:
+    found = base_spans(text) if base is None else base
     if len(text) >= 32:
         found = sorted([*found, *secrets(text)], key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
     return found
@@ -122,28 +125,25 @@ class Words:
 
     def __init__(self, text: str):
         self.text = text
-        self.spans = [m.span() for m in _WORD.finditer(text)]
-        self.starts = [s for s, _ in self.spans]
-        self.lower: dict[int, str] = {}
-
-    def low(self, i: int) -> str:
-        """The word in lower case; a very long one is told apart by a digest."""
-        w = self.lower.get(i)
-        if w is None:
-            s, e = self.spans[i]
-            w = self.text[s:e].lower()
-            if len(w) > 64:
-                w = "#" + hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-            self.lower[i] = w
-        return w
+        self.lows = text.lower().split()
+        if self.lows and max(map(len, self.lows)) > 64:  # very long words are told apart by a digest
+            self.lows = [w if len(w) <= 64 else "#" + hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for w in self.lows]
+
+    @cached_property
+    def spans(self) -> list[tuple[int, int]]:
+        return [m.span() for m in _WORD.finditer(self.text)]
+
+    @cached_property
+    def starts(self) -> list[int]:
+        return [s for s, _ in self.spans]
 
     def patterns(self, i: int, j: int) -> list[str]:
         """The contexts of the words i to j: two words before them, and one on each side."""
-        out = []
+        out, lows = [], self.lows
         if i >= 2:
-            out.append(f"{self.low(i - 2)} {self.low(i - 1)} _")
-        if i >= 1 and j + 1 < len(self.spans):
-            out.append(f"{self.low(i - 1)} _ {self.low(j + 1)}")
+            out.append(f"{lows[i - 2]} {lows[i - 1]} _")
+        if i >= 1 and j + 1 < len(lows):
+            out.append(f"{lows[i - 1]} _ {lows[j + 1]}")
         return out
 
     def around(self, start: int, end: int) -> list[str]:
@@ -234,9 +234,9 @@ def heads(patterns: Iterable[str]) -> frozenset[str]:
 
 def _matches(words: Words, patterns: Collection[str], last_words: frozenset[str]) -> Iterator[tuple[int, list[str]]]:
     """Words with the patterns of a set that hold for them."""
-    for i in range(1, len(words.spans)):
-        if words.low(i - 1) in last_words and (hit := [p for p in words.patterns(i, i) if p in patterns]):
-            yield i, hit
+    for before in [k for k, w in enumerate(words.lows[:-1]) if w in last_words]:
+        if hit := [p for p in words.patterns(before + 1, before + 1) if p in patterns]:
+            yield before + 1, hit
 
 
 def fillers(docs: DataFrame, patterns: Patterns, text: str = "text") -> DataFrame:
@@ -250,7 +250,7 @@ def fillers(docs: DataFrame, patterns: Patterns, text: str = "text") -> DataFram
 
     def found(t: str) -> Iterator[tuple[str, str, str | None]]:
         words = Words(t)
-        hits = _matches(words, few, last_words) if few is not None else ((i, words.patterns(i, i)) for i in range(len(words.spans)))
+        hits = _matches(words, few, last_words) if few is not None else ((i, words.patterns(i, i)) for i in range(len(words.lows)))
         for i, patterns in hits:
             s, e = words.trimmed(i)
             if s < e and "@" not in t[s:e] and not _DIGITS.search(t, s, e):
@@ -320,7 +320,7 @@ def _known(docs: DataFrame, patterns: Patterns, text: str) -> tuple[DataFrame, C
             found: set[tuple[str, str]] = set()
             for digest, t in zip(batch.column(0).to_pylist(), texts_in(batch, "text"), strict=True):
                 words = Words(t)
-                found.update((digest, p) for i in range(len(words.spans)) for p in words.patterns(i, i))
+                found.update((digest, p) for i in range(len(words.lows)) for p in words.patterns(i, i))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], schema=schema)
 
     digest = F.sha2(F.col(f"`{text}`"), 256)
@@ -331,9 +331,9 @@ def _known(docs: DataFrame, patterns: Patterns, text: str) -> tuple[DataFrame, C
     return rows, lambda batch: ((p, heads(p)) for p in map(own_patterns, batch.column(batch.num_columns - 1).to_pylist()))
 
 
-def all_spans(text: str, patterns: dict[str, str], last_words: frozenset[str]) -> list[tuple[int, str, int]]:
+def all_spans(text: str, patterns: dict[str, str], last_words: frozenset[str], base: list[tuple[int, str, int]] | None = None) -> list[tuple[int, str, int]]:
     """Base spans, secrets and what the accepted patterns add, by start and then by kind."""
-    spans = _seeds(text)
+    spans = _seeds(text, base)
     if patterns:
         words = Words(text)
         kinds, places = {}, []
@@ -382,7 +382,8 @@ def find(docs: DataFrame, patterns: Patterns, text: str = "text", key: str = "do
         for batch in pieces(batches, "text"):
             rows = []
             for t, own in zip(texts_in(batch, "text"), known(batch), strict=True):
-                base, every = base_spans(t), all_spans(t, *own)
+                base = base_spans(t)
+                every = all_spans(t, *own, base)
                 rows.append((*(sum(k == kind for _, k, _ in base) for kind in BASE_KINDS), hashlib.sha256(span_list(base).encode()).hexdigest(), span_list(every), sum(k == SECRET for _, k, _ in every)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], fields.field(i + 1).type) for i in range(len(names)))], schema=fields)
 
