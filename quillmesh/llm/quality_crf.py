@@ -5,15 +5,18 @@ repeated words and of the like, cut at fixed thresholds, for the line itself and
 lines before and after it; a chain couples neighbouring labels. A document's score is the
 mean of the lines' forward-backward marginals of being good, weighted by their lengths.
 
-The model is trained in numpy on at most ``max_docs`` labelled documents that are not held
-out (those with the smallest hashes of their ids), whose lines all take the document's label;
-their line features are computed by the executors and only these small rows reach the driver.
-All texts are then scored where they are read, nothing is shuffled.
+The model is trained in numpy on at most ``max_docs`` labelled documents of at most
+``max_bytes`` together that are not held out (those with the smallest hashes of their ids).
+The lines' labels are unknown: what is maximised is the likelihood of the documents' labels
+under the length-weighted marginals, which teaches the weights and the coupling (they start
+from lines that take their document's label). The line features are computed by the executors
+and only these small rows reach the driver. All texts are then scored where they are read.
 
 Defined results: null, empty and blank texts have no lines and get the share of good lines in
 training; labels that are null or without a text teach nothing; without any label every score
 is 0.5; repeated rows are scored like any other; a null id is never held out and never learnt
-from; an empty table gives no rows; other columns are not read.
+from; of texts that share an id the smallest one teaches; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, joined, pieces, span_hashes, texts_in, word_bounds
+from .common import held_out, joined, materialize, pieces, span_hashes, texts_in, word_bounds
 
 RATIOS = ("upper", "digit", "pipe", "bang", "symbol", "stop", "wide", "word_length", "repeat_next", "repeat_line", "distinct", "length", "known_line")
 #: Each ratio is cut at these values.
@@ -167,40 +170,62 @@ class Chain:
         return np.clip(out, 0.0, 1.0)
 
 
-def train(ratios: np.ndarray, chars: np.ndarray, lines_at: np.ndarray, labels: np.ndarray, steps: int = 120, rate: float = 0.05, ridge: float = 2e-3, most_coupling: float = 1.0) -> Chain:
-    """Maximum likelihood of the labels by Adam; a document's lines weigh one together."""
+def train(ratios: np.ndarray, chars: np.ndarray, lines_at: np.ndarray, labels: np.ndarray, start: int = 60, steps: int = 80, rate: float = 0.05, ridge: float = 2e-3, widest: float = 3.0) -> Chain:
+    """Maximum likelihood of the documents' labels by Adam.
+
+    The first ``start`` steps fit single lines to their document's label, without a coupling.
+    Then the lines' labels are hidden: a document's score is its length-weighted mean marginal
+    c * m. The Hessian of the log partition function turns the pull on c into gradients, and
+    its product with c is a difference of two forward-backward passes along c.
+    """
     if not len(ratios):
         return Chain(np.zeros(3 + 3 * sum(map(len, CUTS.values()))), 0.0, 0.5)
     x = indicators(ratios, lines_at)
     sizes = np.diff(lines_at)
-    y = np.repeat(labels, sizes).astype(np.float64)
-    weight = np.repeat(1 / np.maximum(sizes, 1), sizes)
-    weight /= weight.sum()
+    full = sizes > 0
+    heads, own = lines_at[:-1][full], labels[full].astype(np.float64)
+    doc = np.repeat(np.arange(len(own)), sizes[full])
+    part = chars / np.add.reduceat(chars.astype(np.float64), heads)[doc]
+    even = np.repeat(1 / sizes[full], sizes[full]) / len(own)
     pair = np.ones(len(x))
-    pair[lines_at[:-1][sizes > 0]] = 0
+    pair[heads] = 0
+    shrink = ridge / 2 * np.append(np.ones(x.shape[1] - 3), np.zeros(3))
     w, c = np.zeros(x.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        good, equal = Chain.marginals(x @ w, c, lines_at)
-        g = np.append(x.T @ ((good - y) * weight) + ridge * w * np.append(np.ones(len(w) - 3), np.zeros(3)) / 2, np.sum((equal - 1) * pair * weight))
+    for t in range(1, start + steps + 1):
+        odds = x @ w
+        if t <= start:
+            pull, pull_c = (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - own[doc]) * even, 0.0
+        else:
+            good, _ = Chain.marginals(odds, c, lines_at)
+            score = np.clip(np.add.reduceat(good * part, heads), 1e-6, 1 - 1e-6)
+            along = part * ((score - own) / (score * (1 - score) * len(own)))[doc]
+            small = 1e-3 / max(np.abs(along).max(), 1e-12)
+            (up, equal_up), (down, equal_down) = Chain.marginals(odds + small * along, c, lines_at), Chain.marginals(odds - small * along, c, lines_at)
+            pull, pull_c = (up - down) / (2 * small), np.sum((equal_up - equal_down) * pair) / small + ridge * c
+        g = np.append(x.T @ pull + shrink * w, pull_c)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, c = w - step[:-1], float(np.clip(c - step[-1], 0.0, most_coupling))
-    return Chain(w, c, float(y @ weight))
+        w, c = w - step[:-1], float(np.clip(c - step[-1], -widest, widest))
+    return Chain(w, c, float(own.mean()))
 
 
 # ---------------------------------------------------------------- operator
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Text and label of at most ``max_docs`` labelled documents that are not held out."""
-    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null")
+def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_bytes: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, text and label of at most ``max_docs`` labelled documents that are not held out, of at most ``max_bytes`` together."""
+    known = labels.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).where("label is not null and doc_id is not null")
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_docs)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most max_docs rows
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # chosen: at most max_docs rows
+    rows = materialize(rows, "training-sample")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label")  # at most max_docs rows, without their texts
+    fits = rows.select("doc_id", "label", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order).alias("upto")).where(F.col("upto") <= max_bytes)
+    return rows.join(F.broadcast(fits.select("doc_id", "label")), ["doc_id", "label"]).select("doc_id", "text", "label")
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = 2000, text: str = "text", key: str = "doc_id") -> Chain:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = 2000, max_bytes: int = 16 << 20, text: str = "text", key: str = "doc_id") -> Chain:
     fields = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("lines", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
             rows = [ratios[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at)), pa.array(rows, pa.binary())], schema=fields)
 
-    rows = sorted(sample(docs, labels, label, max_docs, text, key).mapInArrow(run, "doc_id long, label int, lines long, data binary").collect())
+    rows = sorted(sample(docs, labels, label, max_docs, max_bytes, text, key).mapInArrow(run, "doc_id long, label int, lines long, data binary").collect())
     if not rows:
         return train(np.empty((0, len(RATIOS))), np.empty(0), np.zeros(1, int), np.empty(0))
     ratios = np.frombuffer(b"".join(bytes(r["data"]) for r in rows), np.float32).reshape(-1, len(RATIOS))

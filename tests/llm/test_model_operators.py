@@ -52,8 +52,10 @@ def test_quality_learns_junk_lines(spark):
         return "\n".join(lines if y else [x.upper().replace(" ", "!! ### ") for x in lines[1:]] + lines[:1])
 
     table, labels, known = labelled(spark, make)
-    got = {r["doc_id"]: r for r in Q.score(table, Q.learn(table, labels)).collect()}
-    assert accuracy(got, known) >= 0.95
+    model = Q.learn(table, labels)
+    clash = table.withColumn("score", F.lit("x")).withColumn("label", F.lit(9)).withColumn("held_out", F.lit(1))
+    got = {r["doc_id"]: r for r in Q.score(clash, model).collect()}
+    assert accuracy(got, known) >= 0.95 and abs(model.coupling) < 3
     assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == table.count()
     assert all(r["held_out"] == (i is not None and held(i)) for i, r in got.items())
     empty = Q.learn(table, labels.limit(0))
@@ -61,6 +63,31 @@ def test_quality_learns_junk_lines(spark):
     assert Q.score(table.limit(0), empty).count() == 0
 
 
+def test_training_lowers_the_loss_of_documents_and_learns_the_coupling():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(0, 7, 80)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    ratios, chars = rng.random((at[-1], len(Q.RATIOS))).astype(np.float32), rng.integers(5, 90, at[-1])
+    labels = rng.integers(0, 2, 80).astype(float)
+
+    def loss(model):
+        s = np.clip(model.scores(ratios, chars, at)[sizes > 0], 1e-6, 1 - 1e-6)
+        return -np.mean(np.where(labels[sizes > 0] > 0, np.log(s), np.log(1 - s)))
+
+    first, last = Q.train(ratios, chars, at, labels, steps=0), Q.train(ratios, chars, at, labels)
+    assert first.coupling == 0 and 0 < abs(last.coupling) < 3 and loss(last) < loss(first)
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    rows = [(i % 20, "é" * (i % 7 + 1)) for i in range(200)] + [(None, "x"), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] * 2, "doc_id long, quality int")
+    got = Q.sample(table, labels, "quality", 12, 1 << 20).collect()
+    assert len({r["doc_id"] for r in got}) <= 12 and len(got) <= 12 and not any(held(r["doc_id"]) for r in got)
+    some = Q.sample(table, labels, "quality", 12, 9).collect()
+    assert 0 < len(some) < len(got) and sum(len((r["text"] or "").encode()) for r in some) <= 9
+
+
 def test_chain_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     sizes = [1, 4, 0, 6, 3]
