@@ -6,13 +6,11 @@ reading a text again, and ``ablations`` gets what each rule alone rejects from a
 distinct bitmask (at most two to the number of rules rows, whatever the input).
 
 Only built-in column functions are used. Nothing is shuffled: a text's repeated windows are
-found inside its own row by sorting packed window hashes.
+found inside its own row by sorting window hashes with their positions.
 
 Defined results: a null or blank text has no words, fails ``few_words`` and keeps zero
 measurements; repeated rows and ties are measured row by row; an empty table gives an empty
 ledger; columns of the input are kept, and one that has a ledger column's name is replaced.
-Positions of windows take 24 bits, so a text may have up to 16,777,216 words; a longer one
-raises an error instead of giving a wrong count.
 """
 
 from __future__ import annotations
@@ -25,9 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import let, text_of, words_of
 
-POSITION_BITS = 24
-_POSITION = (1 << POSITION_BITS) - 1
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -88,23 +83,18 @@ def _covered(starts: Column) -> Column:
 def _repeated(windows: Column) -> Column:
     """Words in windows found twice or more.
 
-    A window's hash gives the high bits and its position the low bits of one long; in
-    sorted order equal windows are neighbours, and the whole 64-bit hashes are compared.
+    Structs of a window's hash and its position are sorted, so equal windows are neighbours
+    however many there are.
     """
 
-    def positions(packed: Column) -> Column:
-        at = lambda j: F.get(windows, F.get(packed, j).bitwiseAND(F.lit(_POSITION)).cast("int"))
-        same = lambda j, k: F.coalesce(at(j) == at(k), F.lit(False))
-        found = F.filter(packed, lambda v, j: same(j, j + 1) | same(j, j - 1))
-        return F.sort_array(F.transform(found, lambda v: v.bitwiseAND(F.lit(_POSITION))))
+    def positions(placed: Column) -> Column:
+        same = lambda j, k: F.coalesce(F.get(placed, j)["h"] == F.get(placed, k)["h"], F.lit(False))
+        found = F.filter(placed, lambda v, j: same(j, j + 1) | same(j, j - 1))
+        return F.sort_array(F.transform(found, lambda v: v["i"]))
 
-    packed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long"))))
-    counted = let(packed, lambda p: let(positions(p), _covered))
-    return (
-        F.when(F.size(windows) > (1 << POSITION_BITS), F.raise_error(F.lit("a text has too many words for a window position")).cast("long"))
-        .when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long"))
-        .otherwise(counted)
-    )
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    counted = let(placed, lambda p: let(positions(p), _covered))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(counted)
 
 
 def _measured(text: Column) -> Column:
