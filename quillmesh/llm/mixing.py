@@ -88,7 +88,7 @@ def _rate(most: int) -> Column:
     return F.when(F.col("lam") >= 700.0, F.lit(float(most))).otherwise(F.lit(float(most)) / (F.lit(1.0) + F.exp(-(F.lit(bias) + F.col("lam") * F.col("size") / F.col("mean")))))
 
 
-def multipliers(counts: DataFrame, sources: DataFrame, few: bool, most: int, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
+def multipliers(counts: DataFrame, sources: DataFrame, few: bool, most: int, tolerance: float = 1e-7, rounds: int = 60) -> DataFrame:
     """Adds the dual optimum ``lam`` to the sources, by Newton steps kept inside a shrinking bracket."""
     capped = F.col("target") >= F.col("total") * most
     state = sources.withColumn("moving", (F.col("target") > 0) & ~capped).withColumn("lam", F.when(capped & (F.col("total") > 0), 1000.0).otherwise(0.0))
