@@ -5,6 +5,7 @@ Words are maximal runs of characters other than space and U+0009 to U+000D.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,18 +53,21 @@ def held_out(doc_id: Column) -> Column:
 # ---------------------------------------------------------------- joins with hot keys
 
 
-def hot_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], total: int, how: str = "inner", parts: int = 256) -> DataFrame:
     """A join of ``many`` rows with a table that has a row for each key, hot keys dealt into parts.
 
-    A key with more than 1 / ``parts`` of the ``total`` rows is hot; there are fewer than
-    ``parts`` of them, so they are sent to the executors. A hot key's rows are dealt by the
-    columns ``by``, and its row of the other table is sent to each of its parts.
+    A key with more than 1 / ``parts`` of the ``total`` rows is hot. There are fewer than
+    ``parts`` of them, and their hashes are all that reaches the driver. A hot key's rows are
+    dealt by the columns ``by``, and its row of the other table is sent to each of its parts.
     """
-    hot = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total / parts, 32))
-    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") * F.lit(parts / max(total, 1))).cast("int").alias("_parts")))  # fewer than ``parts`` rows
-    n = F.coalesce("_parts", F.lit(1))
-    left = many.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*by), n).cast("int")).drop("_parts")
-    right = one.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    key = F.xxhash64(*keys)
+    counted = many.groupBy(key.alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total / parts, 32))
+    hot = {r["_key"]: min(parts, math.ceil(r["_n"] * parts / max(total, 1))) for r in counted.collect()}  # fewer than ``parts`` rows
+    if not hot:
+        return many.join(one, keys, how)
+    dealt = F.when(key.isin(list(hot)), F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), key)).otherwise(1)
+    left = many.withColumn("_part", F.pmod(F.xxhash64(*by), dealt).cast("int"))
+    right = one.withColumn("_part", F.explode(F.sequence(F.lit(0), dealt - 1)))
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
