@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -172,6 +173,26 @@ def message_path(path: Column) -> Column:
     return F.when(field.isNotNull(), F.struct(F.when(whole == "", "$").otherwise(whole).alias("conversation"), message.alias("message"), field.alias("field")))
 
 
+def title_path(path: Column) -> Column:
+    """The conversation whose title is at a path, else null; ``$`` stands for the whole text."""
+    of = lambda end: F.regexp_extract(path, rf"^(.*?){end}$", 1)
+    inner = path.rlike(r"\.message\.|\.messages\[|\.author\.")
+    titled = r"\.(?:title|conversation_title)"
+    named = path.rlike(r"\.name$") & of(r"\.name").rlike(r"(?:^|\.)conversations\[[0-9]+\]$|^\$\[[0-9]+\]$|^[A-Za-z0-9_\-]+$")
+    out = F.when(inner, F.lit(None).cast("string")).when(path.isin("title", "conversation_title"), "$").when(path.rlike(titled + "$"), of(titled)).when(named, of(r"\.name"))
+    return F.when(out == "", "$").otherwise(out)
+
+
+def compact_path(path: Column) -> Column:
+    """What a content line keeps of its path; empty for a line that is left out."""
+    p = F.regexp_replace(path, r"^\$\.?", "")
+    spared = p.rlike(r"(?i)author\.role|author\.name|content\.parts|content\.text|content\.result|title|conversation_title$")
+    field = message_path(p)["field"]
+    role = F.when(field == "content", "message.content").when(field == "create_time", "message.create_time").otherwise(F.concat(F.lit("message.author."), field))
+    last = F.array_join(F.slice(F.reverse(F.slice(F.reverse(F.filter(F.split(p, r"\."), lambda x: x != "")), 1, 3)), 1, 3), ".")
+    return F.when((p == "") | ~p.rlike(KEEP_PATH) | (p.rlike(NOISE_PATH) & ~spared), "").when(field.isNotNull(), role).when(title_path(p).isNotNull(), "title").otherwise(last)
+
+
 def chat_messages(lines: DataFrame, key: str) -> DataFrame:
     """Messages (conversation, message, role, name, create_time, text, pos) from flattened chat exports.
 
@@ -194,15 +215,16 @@ def current_chain(nodes: DataFrame, current: DataFrame, rounds: int = 1000) -> D
     followed level by level; a node met twice ends its chain.
     """
     spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("quillmesh_nodes")
-    current.createOrReplaceTempView("quillmesh_current")
+    names = [f"quillmesh_{kind}_{uuid.uuid4().hex}" for kind in ("nodes", "current")]
+    nodes.createOrReplaceTempView(names[0])
+    current.createOrReplaceTempView(names[1])
     return spark.sql(
         f"""WITH RECURSIVE chain(conversation, node, parent, depth, seen) MAX RECURSION LEVEL {rounds} AS (
               SELECT n.conversation, n.node, n.parent, 0, array(n.node)
-              FROM quillmesh_nodes n JOIN quillmesh_current c ON n.conversation = c.conversation AND n.node = c.node
+              FROM {names[0]} n JOIN {names[1]} c ON n.conversation = c.conversation AND n.node = c.node
               UNION ALL
               SELECT n.conversation, n.node, n.parent, c.depth + 1, array_append(c.seen, n.node)
-              FROM chain c JOIN quillmesh_nodes n ON n.conversation = c.conversation AND n.node = c.parent
+              FROM chain c JOIN {names[0]} n ON n.conversation = c.conversation AND n.node = c.parent
               WHERE NOT array_contains(c.seen, n.node))
             SELECT conversation, node, max(depth) OVER (PARTITION BY conversation) - depth AS pos FROM chain"""
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .json_flatten import flatten_json, is_content_path
+from .conversations import json_texts
 from .normalize import html_to_text, input_format, is_supported, normalize_lines
 
 #: Part sizes in bytes by format.
@@ -19,11 +19,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalized(files: DataFrame) -> DataFrame:
-    """Sources (source_id, format, text) of the files; JSON keeps its content lines only."""
+    """Sources (source_id, format, text) of the files; JSON becomes transcripts, or else its content lines."""
     plain = files.where("format <> 'json'").select("source_id", "format", F.when(F.col("format") == "html", html_to_text(F.col("raw"))).otherwise(normalize_lines(F.col("raw"))).alias("text"))
-    lines = flatten_json(files.where("format = 'json'"), "source_id", "raw").where(is_content_path(F.col("path")))
-    joined = lines.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.concat_ws(": ", "path", "value").alias("line")))).alias("l"))
-    return plain.unionByName(joined.select("source_id", F.lit("json").alias("format"), normalize_lines(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text")))
+    chats = json_texts(files.where("format = 'json'"), "source_id", "raw")
+    return plain.unionByName(chats.select("source_id", F.lit("json").alias("format"), "text"))
 
 
 def part_plan(files: DataFrame, size: str = "bytes") -> DataFrame:
