@@ -63,12 +63,14 @@ def compression(bundle: dict[str, DataFrame], chunks: DataFrame, input_bytes: in
     return chunks.agg(F.sum(F.length("text")).alias("chunk_chars")).crossJoin(stored).select(F.lit(input_bytes).alias("input_bytes"), "chunk_chars", "literal_bytes", (F.lit(input_bytes) / F.col("literal_bytes")).alias("input_ratio"), (F.col("chunk_chars") / F.col("literal_bytes")).alias("chunk_ratio"))
 
 
-def retrieve(term: str, concepts: DataFrame, edges: DataFrame, links: DataFrame, chunks: DataFrame, hops: int = 1) -> DataFrame:
+def retrieve(term: str | DataFrame, concepts: DataFrame, edges: DataFrame, links: DataFrame, chunks: DataFrame, hops: int = 1) -> DataFrame:
     """Chunks of the concepts whose labels hold the term, and of their neighbours, best first.
 
-    A direct hit scores its link; a neighbour's link is multiplied by the edges' weights.
+    The term is a text, or a table of them in column t. A direct hit scores its link; a neighbour's link is multiplied by the edges' weights.
     """
-    hits = keyword_index(concepts).where(F.col("keyword") == term.lower()).select("concept_id", F.lit(1.0).alias("strength"))
+    words = keyword_index(concepts)
+    words = words.where(F.col("keyword") == term.lower()) if isinstance(term, str) else words.join(term.select(F.lower("t").alias("keyword")).distinct(), "keyword", "left_semi")
+    hits = words.select("concept_id", F.lit(1.0).alias("strength")).distinct()
     near = edges.where(F.col("type").isin(*ADJACENT))
     both = near.select(F.col("src").alias("concept_id"), F.col("dst").alias("to"), "weight").unionByName(near.select(F.col("dst").alias("concept_id"), F.col("src").alias("to"), "weight"))
     reached = hits

@@ -3,7 +3,7 @@
 Counting the lexicon and the templates, de-duplicating chunks and finding delta bases are
 DataFrame steps. Splitting a text by the lexicon is one regular expression (longest phrase
 first); common prefixes and suffixes of a record and the 32 before it are an Arrow function
-over ordered records. Decoding is joins, and ``validate`` proves that every text comes back.
+over ordered records, and so is undoing the deltas; ``validate`` proves that every text comes back.
 """
 
 from __future__ import annotations
@@ -15,12 +15,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbering import numbered
+from ..functions.tables import materialize
 from ..functions.text import tokens
 
 #: Fixed values of the codec.
 MAX_PHRASES, MAX_TEMPLATES, WINDOW, SAMPLE = 256, 64, 32, 8000
+#: Deltas stay inside runs of so many records, which a task codes and decodes in one pass.
+EPOCH = 4096
 MIN_PHRASE, MIN_COUNT, AFFIX, MIN_TEMPLATE_TEXT = 12, 3, 24, 72
 
 
@@ -110,7 +114,7 @@ def encode(chunks: DataFrame, *order: str, delta: bool = True) -> dict[str, Data
 
     The lexicon and the templates (at most 256 and 64 rows) are collected; records are
     numbered in the chunks' order, and a delta may point at any of the 32 records before it in
-    its range of the order.
+    its epoch. The records are written once, as literals and references are read from them.
     """
     words, shapes = lexicon(evenly_spaced(chunks, SAMPLE, *order, "chunk_id")), templates(chunks)
     phrases = [r["phrase"] for r in words.collect()]
@@ -128,22 +132,31 @@ def encode(chunks: DataFrame, *order: str, delta: bool = True) -> dict[str, Data
     coded = direct.select(
         "record", "chunk_ids", F.when(~is_delta, F.col("template_id")).alias("template_id"), F.when(~is_delta, F.col("segments")).alias("segments"), "base_record", "start", "delete_count", "insert", F.sha2("text", 256).alias("text_hash")
     )
+    coded = materialize(coded, "textpack-records")
     texts = coded.select(F.explode(F.concat(F.coalesce(F.transform("segments", lambda s: s["literal"]), F.array().cast("array<string>")), F.array(F.coalesce("insert", F.lit(""))))).alias("literal")).where("literal <> ''").distinct()
     stored = numbered(texts, "literal_no", "literal")
     refs = coded.select("record", F.explode("chunk_ids").alias("chunk_id"))
     return {"lexicon": words, "templates": shapes, "literals": stored, "records": coded, "refs": refs}
 
 
+def _by_epoch(rows: DataFrame) -> DataFrame:
+    """Records in order, those of an epoch in one task."""
+    return rows.withColumn("_epoch", F.floor((F.col("record") - 1) / EPOCH)).repartition("_epoch").sortWithinPartitions("_epoch", "record").drop("_epoch")
+
+
 def _with_deltas(rows: DataFrame) -> DataFrame:
     extra = [("base_record", pa.int64()), ("start", pa.int64()), ("delete_count", pa.int64()), ("insert", pa.string())]
-    ranged = rows.repartitionByRange("record").sortWithinPartitions("record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: deque = deque(maxlen=WINDOW)
+        epoch = None
         for batch in batches:
             names = batch.schema.names
             found = []
             for number, text, cost in zip(*(batch.column(names.index(n)).to_pylist() for n in ("record", "text", "cost")), strict=True):
+                if (number - 1) // EPOCH != epoch:
+                    recent.clear()
+                    epoch = (number - 1) // EPOCH
                 found.append(best_base(text, recent, cost) or (None,) * 4)
                 recent.append((number, text))
             for i, (name, kind) in enumerate(extra):
@@ -152,26 +165,35 @@ def _with_deltas(rows: DataFrame) -> DataFrame:
 
     schema = rows.schema
     for name, kind in extra:
-        schema = schema.add(name, "string" if kind == pa.string() else "long")
-    return ranged.mapInArrow(run, schema)
+        schema = schema.add(name, T.StringType() if kind == pa.string() else T.LongType())
+    return _by_epoch(rows).mapInArrow(run, schema)
 
 
-def decode(bundle: dict[str, DataFrame], rounds: int = 64) -> DataFrame:
-    """(record, text) of every record: templates and segments, then deltas from their bases, level by level."""
-    rec, shapes = bundle["records"], F.broadcast(bundle["templates"].select("template_id", "prefix", "suffix"))  # at most 64 rows
-    direct = rec.where("base_record is null").join(shapes, "template_id", "left")
+def decode(bundle: dict[str, DataFrame]) -> DataFrame:
+    """(record, text) of every record: templates and segments, then deltas in one pass over each epoch."""
+    shapes = F.broadcast(bundle["templates"].select("template_id", "prefix", "suffix"))  # at most 64 rows
     body = F.array_join(F.transform("segments", lambda s: F.coalesce(s["phrase"], s["literal"])), "")
-    done = direct.select("record", F.concat(F.coalesce("prefix", F.lit("")), body, F.coalesce("suffix", F.lit(""))).alias("text"))
-    todo = rec.where("base_record is not null").select("record", "base_record", "start", "delete_count", "insert")
-    out, level = done, done
-    for _ in range(rounds):
-        if todo.limit(1).count() == 0:
-            return out
-        base = level.select(F.col("record").alias("base_record"), F.col("text").alias("base"))
-        level = todo.join(base, "base_record").select("record", F.concat(F.expr("substring(base, 1, start)"), F.coalesce("insert", F.lit("")), F.expr("substring(base, start + delete_count + 1)")).alias("text"))
-        todo = todo.join(level.select("record"), "record", "left_anti")
-        out = out.unionByName(level)
-    raise RuntimeError(f"deltas are more than {rounds} deep")
+    rows = bundle["records"].join(shapes, "template_id", "left")
+    direct = F.when(F.col("base_record").isNull(), F.concat(F.coalesce("prefix", F.lit("")), body, F.coalesce("suffix", F.lit(""))))
+    rows = rows.select("record", direct.alias("text"), "base_record", "start", "delete_count", "insert")
+    schema = pa.schema([("record", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[int, str] = {}
+        for batch in batches:
+            numbers, texts = [], []
+            for number, text, base, start, gone, insert in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if base is not None:
+                    old = recent[base]
+                    text = old[:start] + (insert or "") + old[start + gone :]
+                recent[number] = text
+                if len(recent) > WINDOW:
+                    del recent[next(iter(recent))]
+                numbers.append(number)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], schema=schema)
+
+    return _by_epoch(rows).mapInArrow(run, "record long, text string")
 
 
 def validate(bundle: dict[str, DataFrame], chunks: DataFrame) -> DataFrame:

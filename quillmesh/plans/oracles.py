@@ -221,6 +221,56 @@ SELECT artifact_key, artifact_type, first_value(raw) OVER o AS label, CAST(row_n
 FROM v WINDOW o AS (PARTITION BY artifact_key ORDER BY session_id, chunk_id)""",
 }
 
+ORACLE_SQL["q_sentences"] = f"""WITH {DOCS}, f AS (SELECT source_id, text, regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]+|$)') AS parts, regexp_split_to_array(text, '[^.!?\\n]+(?:[.!?]+|$)') AS gaps FROM docs),
+e AS (SELECT source_id, unnest(parts) AS raw, unnest(gaps[1:len(parts)]) AS gap, generate_subscripts(parts, 1) AS i FROM f),
+g AS (SELECT *, {_space('raw')} AS text, sum(length(gap)) OVER w + sum(length(raw)) OVER w - length(raw) + length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS start FROM e WINDOW w AS (PARTITION BY source_id ORDER BY i))
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY i) - 1 AS INT) AS k, text, CAST(start AS BIGINT) AS start FROM g WHERE text <> ''
+UNION ALL SELECT source_id, 0, {_space('text')}, 0 FROM f WHERE len(list_filter(parts, lambda p: {_space('p')} <> '')) = 0 AND {_space('text')} <> ''"""
+ORACLE_SQL["q_textpack_roundtrip"] = f"WITH {MESSAGES} SELECT count(*) AS chunks, CAST(0 AS BIGINT) AS failures FROM messages"
+ORACLE_SQL["q_reconstruct_session"] = f"WITH {MESSAGES} SELECT session_id, string_agg(upper(coalesce(role, 'unknown')) || ': ' || text, chr(10) || chr(10) ORDER BY seq_in_session) AS text FROM messages GROUP BY session_id"
+ORACLE_SQL["q_mapping_order"] = f"WITH {_TRANSCRIPT} SELECT source_id, text FROM transcripts WHERE text <> ''"
+ORACLE_SQL["q_json_fragment_udtf"] = ORACLE_SQL["q_json_flatten_props"].replace("CAST(0 AS BIGINT) AS line_no, ", "")
+ORACLE_SQL["q_json_path_filter"] = """WITH n AS (SELECT conv_id, count(*) AS n, count(role) AS roles, count(text) AS texts FROM conversations GROUP BY conv_id)
+SELECT 'title' AS path, count(*) AS n FROM n
+UNION ALL SELECT 'message.author.role', CAST(sum(roles + CAST(n > 1 AS INT)) AS BIGINT) FROM n
+UNION ALL SELECT 'message.content', CAST(sum(n + CAST(n > 1 AS INT)) AS BIGINT) FROM n"""
+ORACLE_SQL["q_corpus_totals"] = f"""WITH {CONCEPTS}, s AS (SELECT session_id, sum(strlen(text)) + count(*) - 1 AS b FROM messages GROUP BY session_id),
+t AS (SELECT count(*) AS sources, CAST(coalesce(sum(b), 0) AS BIGINT) AS text_bytes FROM s),
+c AS (SELECT count(*) AS chunks, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chunk_chars FROM messages)
+SELECT sources, text_bytes, sources AS sessions, chunks, chunk_chars, (SELECT count(*) FROM concepts) AS concepts, CAST(floor(350 + text_bytes / 17000::DOUBLE + sources * 90 + chunks * 24 + 0.5) AS BIGINT) AS estimated_processing_duration_ms FROM t CROSS JOIN c"""
+
+_CONTINUES = f"""
+ids AS (SELECT DISTINCT conv_id, session_id FROM messages),
+held AS (SELECT ids.*, coalesce(c, []) AS c FROM ids LEFT JOIN (SELECT session_id, list(DISTINCT concept_id) AS c FROM links GROUP BY session_id) USING (session_id)),
+turn AS (SELECT session_id, c, lag(session_id) OVER o AS prev_id, lag(c) OVER o AS p FROM held WINDOW o AS (ORDER BY conv_id)),
+lap AS (SELECT *, len(list_intersect(c, p)) / CAST(greatest(len(c), len(p)) AS DOUBLE) AS overlap FROM turn WHERE prev_id IS NOT NULL AND len(c) > 0 AND len(p) > 0),
+session_edges AS (SELECT prev_id AS src, session_id AS dst, 'continues' AS type, {_round('least(1.0::DOUBLE, 0.36::DOUBLE + overlap)', 4)} AS weight FROM lap WHERE overlap > 0
+  UNION ALL SELECT prev_id, session_id, 'same_theme_as', {_round('least(1.0::DOUBLE, 0.42::DOUBLE + overlap)', 4)} FROM lap WHERE overlap >= 0.2::DOUBLE)"""
+ORACLE_SQL["q_edges_continues"] = f"WITH {CONCEPTS}, {_CONTINUES} SELECT src, dst, type, weight FROM session_edges"
+
+_VERSIONS = ORACLE_SQL["q_artifact_version_list"].removeprefix(f"WITH {MESSAGES}, ").partition("SELECT artifact_key, artifact_type, first_value")[0].rstrip() + f""",
+vs AS (SELECT artifact_key, session_id, chunk_id, text, row_number() OVER o AS version_index, lag(text) OVER o AS previous_text FROM v WINDOW o AS (PARTITION BY artifact_key ORDER BY session_id, chunk_id)),
+firsts AS (SELECT artifact_key, printf('artifact_%06d', row_number() OVER (ORDER BY session_id, chunk_id)) AS artifact_id FROM vs WHERE version_index = 1),
+named AS (SELECT vs.*, artifact_id, artifact_id || '/' || printf('version_%06d', version_index) AS version_id, CASE WHEN version_index > 1 THEN artifact_id || '/' || printf('version_%06d', version_index - 1) END AS previous_version_id,
+  list_distinct({_content('substr(text, 1, 1200)')}) AS ta, list_distinct({_content("substr(coalesce(previous_text, ''), 1, 1200)")}) AS tb FROM vs JOIN firsts USING (artifact_key)),
+artifact_edges AS (SELECT artifact_id AS src, version_id AS dst, 'contains' AS type, 0.97::DOUBLE AS weight FROM named
+  UNION ALL SELECT version_id, artifact_id, 'revision_of', 0.94::DOUBLE FROM named
+  UNION ALL SELECT version_id, chunk_id, 'materialized_as', 0.99::DOUBLE FROM named
+  UNION ALL SELECT DISTINCT session_id, artifact_id, 'contains', 0.76::DOUBLE FROM named
+  UNION ALL SELECT version_id, previous_version_id, 'derived_from', {_round("least(1.0::DOUBLE, 0.48::DOUBLE + 0.45::DOUBLE * " + _jaccard('ta', 'tb') + ")", 4)} FROM named WHERE previous_version_id IS NOT NULL)"""
+ORACLE_SQL["q_edges_artifacts"] = f"WITH {MESSAGES}, {_VERSIONS} SELECT src, dst, type, weight FROM artifact_edges"
+_SEQUENCE = ORACLE_SQL["q_edges_sequence"].removeprefix(f"WITH {MESSAGES}, ")
+ORACLE_SQL["q_graph_build"] = f"""WITH {CONCEPTS}, {_CONTINUES}, {_VERSIONS},
+every AS (SELECT src, dst, type, weight, 0 AS ord FROM ({_TOPIC})
+  UNION ALL SELECT concept_id, version_id, 'mentioned_in_artifact', {_round('least(1.0::DOUBLE, 0.42::DOUBLE + 0.04::DOUBLE * score)', 4)}, 1 FROM links JOIN named USING (chunk_id) WHERE link_rank <= 6
+  UNION ALL SELECT src, dst, type, weight, 2 FROM (WITH {_SEQUENCE})
+  UNION ALL SELECT src, dst, type, weight, 5 FROM session_edges
+  UNION ALL SELECT src, dst, type, weight, 7 FROM artifact_edges
+  UNION ALL SELECT src, dst, type, weight, 12 FROM cooccur
+  UNION ALL SELECT src, dst, type, weight, 13 FROM label_edges),
+one AS (SELECT type, arg_min(weight, ord) AS weight FROM every GROUP BY src, dst, type)
+SELECT type, count(*) AS n, {_round('max(weight)', 4)} AS max_weight FROM one GROUP BY type"""
+
 _SCORED = ORACLE_SQL["q_boundary_scores"].rpartition("SELECT source_id, block_no,")
 ORACLE_SQL["q_sessions_of_documents"] = (
     "WITH RECURSIVE " + _SCORED[0].removeprefix("WITH ").rstrip() + f""",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import blocks, chunks, concepts, graph, indexes, obsessions, sessions, speaker, symbols, textpack
 from ..operators.artifacts import artifact_versions
-from ..sources import json_flatten, normalize
+from ..sources import conversations, json_flatten, normalize
 from .corpus import Corpus, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,39 @@ def json_flatten_props(spark, sf_dir):
     return json_flatten.flatten_json(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "line_no", "path", "value")
 
 
+@_query
+def json_fragment_udtf(spark, sf_dir):
+    """Events' properties cut out of their braces, as a slice of a larger file would be."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr("substring(props, 2, length(props) - 2)").alias("part"))
+    return json_flatten.flatten_json(rows, "event_id", "part").select("event_id", "path", "value")
+
+
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as exports: a mapping of linked nodes in reverse, with a branch that was given up."""
+    name = lambda i: F.format_string("n%06d", i)
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    message = lambda role, text: F.struct(F.struct(role.alias("role")).alias("author"), F.struct(F.array(text).alias("parts")).alias("content"))
+    node = lambda m, parent: F.struct(m.alias("message"), parent.alias("parent"))
+    said = F.transform("t", lambda x, i: F.struct(name(i).alias("key"), node(message(x["role"], x["text"]), F.when(i > 0, name(i - 1))).alias("value")))
+    side = F.array(F.struct(F.lit("side").alias("key"), node(message(F.lit("assistant"), F.lit("given up")), name(F.lit(0))).alias("value")))
+    nodes = F.map_from_entries(F.reverse(F.when(F.size("t") > 1, F.concat(said, side)).otherwise(said)))
+    whole = F.struct(F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), nodes.alias("mapping"), name(F.size("t") - 1).alias("current_node"))
+    return turns.select(F.format_string("conv:%06d", "conv_id").alias("source_id"), F.to_json(whole).alias("raw"))
+
+
+@_query
+def mapping_order(spark, sf_dir):
+    """Exports rendered by their current node's chain of parents."""
+    return conversations.json_texts(exports(spark, sf_dir), "source_id", "raw").where(F.col("text").startswith("# Conversation: ")).select("source_id", "text")
+
+
+@_query
+def json_path_filter(spark, sf_dir):
+    """Content lines of the exports by what is kept of their paths."""
+    lines = json_flatten.flatten_json(exports(spark, sf_dir), "source_id", "raw").select(json_flatten.compact_path(F.col("path")).alias("path"))
+    return lines.where("path <> ''").groupBy("path").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- blocks
 
 
@@ -213,6 +246,14 @@ def textpack_roundtrip(spark, sf_dir):
     return m.agg(F.count("*").alias("chunks")).crossJoin(bad)
 
 
+@_query
+def reconstruct_session(spark, sf_dir):
+    """Conversations put together again from the messages' decoded records."""
+    m = messages(spark, sf_dir)
+    bundle = textpack.encode(m, "session_id", "seq_in_session")
+    return indexes.reconstruct_session(m.select("session_id", F.col("seq_in_session").alias("seq"), "chunk_id"), bundle["refs"], textpack.decode(bundle), m.select("chunk_id", F.col("role").alias("speaker_role")))
+
+
 # ---------------------------------------------------------------- graph
 
 
@@ -241,6 +282,13 @@ def edges_labels(spark, sf_dir):
     return graph.label_edges(_concepts(spark, sf_dir)[1]).drop("ord")
 
 
+@_query
+def edges_continues(spark, sf_dir):
+    """Edges between conversations that follow one another and share concepts."""
+    m, _, links = _concepts(spark, sf_dir)
+    return graph.session_edges(_sessions(m, links)).drop("ord")
+
+
 @_query
 def edges_artifacts(spark, sf_dir):
     return graph.unique_edges(graph.artifact_edges(versions(messages(spark, sf_dir))))
@@ -249,7 +297,7 @@ def edges_artifacts(spark, sf_dir):
 def _edges(spark, sf_dir):
     m, ranked, links = _concepts(spark, sf_dir)
     v = versions(m)
-    return m, ranked, links, graph.unique_edges(graph.topic_edges(links), graph.artifact_mentions(links, v), graph.sequence_edges(m), graph.artifact_edges(v), graph.cooccurrence_edges(links), graph.label_edges(ranked))
+    return m, ranked, links, graph.unique_edges(graph.topic_edges(links), graph.artifact_mentions(links, v), graph.sequence_edges(m), graph.session_edges(_sessions(m, links)), graph.artifact_edges(v), graph.cooccurrence_edges(links), graph.label_edges(ranked))
 
 
 @_query
@@ -322,13 +370,21 @@ def session_raw_text(spark, sf_dir):
     return obsessions.session_raw_text(messages(spark, sf_dir).withColumn("speaker_role", F.col("role")))
 
 
+@_query
+def corpus_totals(spark, sf_dir):
+    """Totals over the messages, a source and a session for each conversation."""
+    m, ranked, _ = _concepts(spark, sf_dir)
+    sources = m.groupBy("session_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    return indexes.corpus_totals(sources, sources, m, ranked)
+
+
 @_query
 def retrieve_term(spark, sf_dir):
     """Chunks for the first word of the most important concept."""
     m, ranked, links = _concepts(spark, sf_dir)
     e = graph.unique_edges(graph.cooccurrence_edges(links), graph.label_edges(ranked))
-    top = ranked.where("rank = 1").select(F.get(T.content_tokens(F.col("label")), F.lit(0)).alias("t")).first()
-    return indexes.retrieve(top["t"] if top and top["t"] else "", ranked, e, links, m).select("chunk_id", T.round_to(F.col("score"), 6).alias("score"))
+    top = ranked.where("rank = 1").select(F.get(T.content_tokens(F.col("label")), F.lit(0)).alias("t"))
+    return indexes.retrieve(top, ranked, e, links, m).select("chunk_id", T.round_to(F.col("score"), 6).alias("score"))
 
 
 @_query
