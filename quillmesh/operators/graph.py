@@ -15,6 +15,11 @@ from ..functions.text import content_tokens, jaccard, round_to, token_set
 
 MAX_LINKS = 6  # concept links of a chunk that count
 MAX_PAIRED = 2000  # concepts compared by label
+COMPARED_CHARS = 1200  # characters of a chunk that are compared; None compares whole texts
+
+
+def _leading(column: str, chars: int | None) -> Column:
+    return F.col(column) if chars is None else F.substring(column, 1, chars)
 
 
 def _edge(src, dst, kind, weight: Column | float, order: int) -> list[Column]:
@@ -34,10 +39,10 @@ def artifact_mentions(links: DataFrame, versions: DataFrame) -> DataFrame:
     return links.where(F.col("link_rank") <= MAX_LINKS).join(v, "chunk_id").select(*_edge("concept_id", "version_id", "mentioned_in_artifact", 0.42 + 0.04 * F.col("score"), 1))
 
 
-def sequence_edges(chunks: DataFrame) -> DataFrame:
+def sequence_edges(chunks: DataFrame, chars: int | None = COMPARED_CHARS) -> DataFrame:
     """Edges between neighbouring chunks of a session: adjacency, similarity, references."""
     order = Window.partitionBy("session_id").orderBy("seq_in_session")
-    rows = chunks.select("session_id", "seq_in_session", "chunk_id", F.substring("text", 1, 1200).alias("text")).withColumn("tokens", token_set(F.col("text")))
+    rows = chunks.select("session_id", "seq_in_session", "chunk_id", _leading("text", chars).alias("text")).withColumn("tokens", token_set(F.col("text")))
     rows = rows.withColumn("prev_id", F.lag("chunk_id").over(order)).withColumn("similarity", jaccard(F.lag("tokens").over(order), F.col("tokens"))).where("prev_id is not null")
     near = rows.select(*_edge("prev_id", "chunk_id", "adjacent_to", 1.0, 2))
     follows = rows.where(F.col("similarity") >= 0.25).select(*_edge("chunk_id", "prev_id", "follows_from", 0.35 + F.col("similarity"), 3))
@@ -55,14 +60,14 @@ def session_edges(sessions: DataFrame) -> DataFrame:
     return goes_on.unionByName(rows.where("overlap >= 0.2").select(*_edge("prev_id", "session_id", "same_theme_as", 0.42 + F.col("overlap"), 6)))
 
 
-def artifact_edges(versions: DataFrame) -> DataFrame:
+def artifact_edges(versions: DataFrame, chars: int | None = COMPARED_CHARS) -> DataFrame:
     """Edges of artifact versions (artifact_id, version_id, previous_version_id, chunk_id, session_id, texts)."""
     parts = [
         versions.select(*_edge("artifact_id", "version_id", "contains", 0.97, 7)),
         versions.select(*_edge("version_id", "artifact_id", "revision_of", 0.94, 8)),
         versions.select(*_edge("version_id", "chunk_id", "materialized_as", 0.99, 9)),
         versions.select("session_id", "artifact_id").distinct().select(*_edge("session_id", "artifact_id", "contains", 0.76, 10)),
-        versions.where("previous_version_id is not null").select(*_edge("version_id", "previous_version_id", "derived_from", 0.48 + 0.45 * jaccard(token_set(F.substring("text", 1, 1200)), token_set(F.substring("previous_text", 1, 1200))), 11)),
+        versions.where("previous_version_id is not null").select(*_edge("version_id", "previous_version_id", "derived_from", 0.48 + 0.45 * jaccard(token_set(_leading("text", chars)), token_set(_leading("previous_text", chars))), 11)),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -60,9 +60,10 @@ def threads(chosen: DataFrame, sessions: DataFrame, sessions_of: DataFrame) -> D
     return out.select(F.format_string("thread_%d", "n").alias("thread_id"), "obsession_no", "concept_id", F.col("label").alias("concept_label"), "session_id", "title", "turn_count", "chunk_count", round_to(F.col("s"), 4).alias("score"), mark.alias("marker"), (F.col("n") <= MAX_GRAPH_THREADS).alias("in_graph"))
 
 
-def session_raw_text(chunks: DataFrame) -> DataFrame:
-    """Each session's chunks as ``ROLE: text``, texts cut at 1200 characters."""
-    line = F.concat(F.upper(F.coalesce("speaker_role", F.lit("unknown"))), F.lit(": "), F.substring("text", 1, 1200))
+def session_raw_text(chunks: DataFrame, chars: int | None = 1200) -> DataFrame:
+    """Each session's chunks as ``ROLE: text``, of texts the first ``chars`` characters or, for None, all."""
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    line = F.concat(F.upper(F.coalesce("speaker_role", F.lit("unknown"))), F.lit(": "), text)
     return chunks.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_in_session", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("text"))
 
 

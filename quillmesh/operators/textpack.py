@@ -109,14 +109,16 @@ def segments(text: Column, phrases: list[str]) -> Column:
     return F.filter(F.flatten(pairs), lambda s: s["phrase"].isNotNull() | (s["literal"] != ""))
 
 
-def encode(chunks: DataFrame, *order: str, delta: bool = True) -> dict[str, DataFrame]:
+def encode(chunks: DataFrame, *order: str, delta: bool = True, sample: int | None = SAMPLE) -> dict[str, DataFrame]:
     """The bundle of a chunk table: lexicon, templates, literals, records and refs.
 
-    The lexicon and the templates (at most 256 and 64 rows) are collected; records are
+    The lexicon is counted over ``sample`` evenly spaced chunks, or over all for None. It and
+    the templates (at most 256 and 64 rows) are collected; records are
     numbered in the chunks' order, and a delta may point at any of the 32 records before it in
     its epoch. The records are written once, as literals and references are read from them.
     """
-    words, shapes = lexicon(evenly_spaced(chunks, SAMPLE, *order, "chunk_id")), templates(chunks)
+    counted = chunks if sample is None else evenly_spaced(chunks, sample, *order, "chunk_id")
+    words, shapes = materialize(lexicon(counted), "textpack-lexicon"), materialize(templates(chunks), "textpack-templates")
     phrases = [r["phrase"] for r in words.collect()]
     base = numbered(records(chunks, *order), "record", "first", "text", "signature")
     shaped = base.join(F.broadcast(shapes.select("template_id", "prefix", "suffix")), (F.length("text") > 2 * AFFIX) & (F.substring("text", 1, AFFIX) == F.col("prefix")) & (F.expr(f"right(text, {AFFIX})") == F.col("suffix")), "left")  # at most 64 rows

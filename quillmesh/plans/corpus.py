@@ -1,8 +1,8 @@
 """The corpus build: sources to blocks, sessions, chunks, concepts, graph and indexes.
 
-Each attribute is a lazy DataFrame made from the ones before it. ``stored`` writes the two
-tables that most others read (chunks and concept links) and continues from what was written,
-which is what a cluster run should do.
+Each attribute is a DataFrame made from the ones before it. What several others read (blocks in
+sessions, phrases, concepts and links) is written once into the shared folder when first asked
+for; ``stored`` also writes the chunks and continues from what was written.
 """
 
 from __future__ import annotations
@@ -56,15 +56,15 @@ class Corpus:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return concepts.candidates(self.chunks)
+        return materialize(concepts.candidates(self.chunks), "candidates")
 
     @cached_property
     def concepts(self) -> DataFrame:
-        return concepts.concept_table(self.candidates, self.chunks.agg(F.count("*").alias("n")), self.settings.concept_level)
+        return materialize(concepts.concept_table(self.candidates, self.chunks.agg(F.count("*").alias("n")), self.settings.concept_level), "concepts")
 
     @cached_property
     def links(self) -> DataFrame:
-        return concepts.chunk_concepts(self.candidates, self.concepts)
+        return materialize(concepts.chunk_concepts(self.candidates, self.concepts), "links")
 
     @cached_property
     def versions(self) -> DataFrame:

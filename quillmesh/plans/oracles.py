@@ -188,7 +188,7 @@ SELECT printf('phrase_%06d', n) AS phrase_id, phrase, recurrence_count FROM r WH
     "q_edges_topic": f"WITH {CONCEPTS} {_TOPIC}",
     "q_edges_cooccur": f"WITH {CONCEPTS} SELECT * FROM cooccur",
     "q_edges_labels": f"WITH {CONCEPTS} SELECT * FROM label_edges",
-    "q_edges_sequence": f"""WITH {MESSAGES}, t AS (SELECT session_id, seq_in_session, chunk_id, substr(text, 1, 1200) AS text, list_distinct({_content('substr(text, 1, 1200)')}) AS ts FROM messages),
+    "q_edges_sequence": f"""WITH {MESSAGES}, t AS (SELECT session_id, seq_in_session, chunk_id, text, list_distinct({_content('text')}) AS ts FROM messages),
 p AS (SELECT *, lag(chunk_id) OVER w AS prev_id, lag(ts) OVER w AS pts FROM t WINDOW w AS (PARTITION BY session_id ORDER BY seq_in_session)),
 j AS (SELECT *, {_jaccard('pts', 'ts')} AS s FROM p WHERE prev_id IS NOT NULL)
 SELECT prev_id AS src, chunk_id AS dst, 'adjacent_to' AS type, 1.0::DOUBLE AS weight FROM j
@@ -207,7 +207,7 @@ c AS (SELECT k.*, coalesce(n.session_count, 0) AS session_count, len({_content('
 p AS (SELECT *, greatest(max(recurrence_count) OVER (), 1)::DOUBLE AS mr, greatest(max(session_count) OVER (), 1)::DOUBLE AS ms FROM c)
 SELECT concept_id, label, session_count, {_round("least(1.0::DOUBLE, importance * 0.56::DOUBLE + recurrence_count / mr * 0.24::DOUBLE + session_count / ms * 0.2::DOUBLE + CASE WHEN nw >= 2 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END)", 4)} AS score
 FROM p WHERE length(key) >= 3 AND key NOT IN {_among(DISCOURAGED_LABELS)} AND NOT regexp_matches(key, '^[0-9]+$') AND nw BETWEEN 1 AND 6""",
-    "q_session_raw_text": f"WITH {MESSAGES} SELECT session_id, string_agg(upper(coalesce(role, 'unknown')) || ': ' || substr(text, 1, 1200), chr(10) || chr(10) ORDER BY seq_in_session) AS text FROM messages GROUP BY session_id",
+    "q_session_raw_text": f"WITH {MESSAGES} SELECT session_id, string_agg(upper(coalesce(role, 'unknown')) || ': ' || text, chr(10) || chr(10) ORDER BY seq_in_session) AS text FROM messages GROUP BY session_id",
     "q_retrieve_term": f"""WITH {CONCEPTS}, term AS (SELECT {_content('label')}[1] AS t FROM concepts WHERE rank = 1),
 hits AS (SELECT concept_id FROM concepts CROSS JOIN term WHERE list_contains({_content('label')}, t)),
 e AS (SELECT src, dst, weight FROM cooccur UNION ALL SELECT src, dst, weight FROM label_edges),
@@ -252,7 +252,7 @@ _VERSIONS = ORACLE_SQL["q_artifact_version_list"].removeprefix(f"WITH {MESSAGES}
 vs AS (SELECT artifact_key, session_id, chunk_id, text, row_number() OVER o AS version_index, lag(text) OVER o AS previous_text FROM v WINDOW o AS (PARTITION BY artifact_key ORDER BY session_id, chunk_id)),
 firsts AS (SELECT artifact_key, printf('artifact_%06d', row_number() OVER (ORDER BY session_id, chunk_id)) AS artifact_id FROM vs WHERE version_index = 1),
 named AS (SELECT vs.*, artifact_id, artifact_id || '/' || printf('version_%06d', version_index) AS version_id, CASE WHEN version_index > 1 THEN artifact_id || '/' || printf('version_%06d', version_index - 1) END AS previous_version_id,
-  list_distinct({_content('substr(text, 1, 1200)')}) AS ta, list_distinct({_content("substr(coalesce(previous_text, ''), 1, 1200)")}) AS tb FROM vs JOIN firsts USING (artifact_key)),
+  list_distinct({_content('text')}) AS ta, list_distinct({_content("coalesce(previous_text, '')")}) AS tb FROM vs JOIN firsts USING (artifact_key)),
 artifact_edges AS (SELECT artifact_id AS src, version_id AS dst, 'contains' AS type, 0.97::DOUBLE AS weight FROM named
   UNION ALL SELECT version_id, artifact_id, 'revision_of', 0.94::DOUBLE FROM named
   UNION ALL SELECT version_id, chunk_id, 'materialized_as', 0.99::DOUBLE FROM named

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import materialize
 from ..operators import blocks, chunks, concepts, graph, indexes, obsessions, sessions, speaker, symbols, textpack
 from ..operators.artifacts import artifact_versions
 from ..sources import conversations, json_flatten, normalize
@@ -49,10 +50,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _concepts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages, ranked concepts and links; phrases, concepts and links are written once for all that read them."""
     m = messages(spark, sf_dir)
-    found = concepts.candidates(m)
-    ranked = concepts.concept_table(found, m.agg(F.count("*").alias("n")))
-    return m, ranked, concepts.chunk_concepts(found, ranked)
+    found = materialize(concepts.candidates(m), "candidates")
+    ranked = materialize(concepts.concept_table(found, m.agg(F.count("*").alias("n"))), "concepts")
+    return m, ranked, materialize(concepts.chunk_concepts(found, ranked), "links")
 
 
 # ---------------------------------------------------------------- sources
@@ -241,7 +243,7 @@ def dedupe_records(spark, sf_dir):
 def textpack_roundtrip(spark, sf_dir):
     """Decodes every record of the messages' bundle; all must come back."""
     m = messages(spark, sf_dir)
-    bundle = textpack.encode(m, "session_id", "seq_in_session")
+    bundle = textpack.encode(m, "session_id", "seq_in_session", sample=None)
     bad = textpack.validate(bundle, m).agg(F.count("*").alias("failures"))
     return m.agg(F.count("*").alias("chunks")).crossJoin(bad)
 
@@ -250,7 +252,7 @@ def textpack_roundtrip(spark, sf_dir):
 def reconstruct_session(spark, sf_dir):
     """Conversations put together again from the messages' decoded records."""
     m = messages(spark, sf_dir)
-    bundle = textpack.encode(m, "session_id", "seq_in_session")
+    bundle = textpack.encode(m, "session_id", "seq_in_session", sample=None)
     return indexes.reconstruct_session(m.select("session_id", F.col("seq_in_session").alias("seq"), "chunk_id"), bundle["refs"], textpack.decode(bundle), m.select("chunk_id", F.col("role").alias("speaker_role")))
 
 
@@ -269,7 +271,7 @@ def edges_topic(spark, sf_dir):
 
 @_query
 def edges_sequence(spark, sf_dir):
-    return graph.sequence_edges(messages(spark, sf_dir)).drop("ord")
+    return graph.sequence_edges(messages(spark, sf_dir), chars=None).drop("ord")
 
 
 @_query
@@ -291,13 +293,13 @@ def edges_continues(spark, sf_dir):
 
 @_query
 def edges_artifacts(spark, sf_dir):
-    return graph.unique_edges(graph.artifact_edges(versions(messages(spark, sf_dir))))
+    return graph.unique_edges(graph.artifact_edges(versions(messages(spark, sf_dir)), chars=None))
 
 
 def _edges(spark, sf_dir):
     m, ranked, links = _concepts(spark, sf_dir)
     v = versions(m)
-    return m, ranked, links, graph.unique_edges(graph.topic_edges(links), graph.artifact_mentions(links, v), graph.sequence_edges(m), graph.session_edges(_sessions(m, links)), graph.artifact_edges(v), graph.cooccurrence_edges(links), graph.label_edges(ranked))
+    return m, ranked, links, graph.unique_edges(graph.topic_edges(links), graph.artifact_mentions(links, v), graph.sequence_edges(m, chars=None), graph.session_edges(_sessions(m, links)), graph.artifact_edges(v, chars=None), graph.cooccurrence_edges(links), graph.label_edges(ranked))
 
 
 @_query
@@ -367,7 +369,7 @@ def obsession_threads(spark, sf_dir):
 
 @_query
 def session_raw_text(spark, sf_dir):
-    return obsessions.session_raw_text(messages(spark, sf_dir).withColumn("speaker_role", F.col("role")))
+    return obsessions.session_raw_text(messages(spark, sf_dir).withColumn("speaker_role", F.col("role")), chars=None)
 
 
 @_query
