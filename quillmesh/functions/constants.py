@@ -37,8 +37,26 @@ CONCEPT_LIMITS = {"low": (3, 4, 0.3), "medium": (2, 3, 0.45), "high": (2, 2, 0.6
 BLOCK_TAGS = (
     "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead tr ul"
 ).split()
+#: HTML elements that are left out whole.
 SKIPPED_TAGS = ("script", "style", "noscript", "template")
 
+#: Words that tell a chunk's kind, in order of precedence (quote comes before fact).
+KIND_CUES = {
+    "error": "error|failed|failure|exception|traceback|bug",
+    "decision": "decision|decide|decided|approved|final|resolved|ship(?:ped)?",
+    "request": "please|could you|can you|would you|need to|request|ask",
+    "task": "todo|next step|action item|follow up",
+    "fact": "is|means|defined as|consists of",
+}
+#: Shapes of artifacts, declarations and headings, and words that open a new thought.
+TABLE_SHAPE = r"(?i)(?<![a-z0-9_])[a-z0-9_]+\s*,\s*[a-z0-9_]+\s*,\s*[a-z0-9_]+"
+JSON_SHAPES = (r"^[\[{]", r'"[^"\\]{1,40}"\s*:')
+SECTION_SHAPES = (r"(?i)^(?:#{1,6}\s+)?(?:chapter|section|part|appendix)(?![a-z0-9_])", r"^[A-Z0-9][A-Z0-9\s:._\-/]{6,90}\z")
+DECLARATION = r"(?<![A-Za-z0-9_])(?:function|class|interface|type|const|let|var|export\s+function|export\s+class)\s+([A-Za-z_][A-Za-z0-9_]*)"
+JSON_KEY = r'"([^"\\]{1,40})"\s*:'
+HEADING = r"(?i)^(?:#{1,6}\s+)?((?:chapter|section|part|appendix)\s+[A-Za-z0-9._:-]+[^.!?\n]{0,80})"
+CUE = r"(?<![a-z0-9_])(?:(?:however|therefore|in summary|finally|next step|conclusion)(?![a-z0-9_])|next,(?=[a-z0-9_]))"
+
 #: Labels that are no topic.
 DISCOURAGED_LABELS = (
     "assistant, assistants, chatgpt, chunk, chunks, concept, concepts, conversation, conversations, file, files, json, local memory, manifest, "

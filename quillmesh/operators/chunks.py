@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import CHUNK_SIZES
+from ..functions.constants import CHUNK_SIZES, CUE, DECLARATION, HEADING, JSON_KEY, JSON_SHAPES, KIND_CUES, SECTION_SHAPES, TABLE_SHAPE
 from ..functions.folds import folded
 from ..functions.text import leading_words, normalize_space, sentences, word
 from .speaker import _best, sequence_preview
@@ -22,12 +22,12 @@ def chunk_kind(text: Column, quoted: Column | None = None) -> Column:
     low = F.lower(text)
     is_quote = text.rlike("\"[^\"]+\"|'[^']+'")
     return (
-        F.when(low.rlike(word("error|failed|failure|exception|traceback|bug")), "error")
-        .when(low.rlike(word("decision|decide|decided|approved|final|resolved|ship(?:ped)?")), "decision")
-        .when(low.rlike(word("please|could you|can you|would you|need to|request|ask")), "request")
-        .when(low.rlike(word("todo|next step|action item|follow up")), "task")
+        F.when(low.rlike(word(KIND_CUES["error"])), "error")
+        .when(low.rlike(word(KIND_CUES["decision"])), "decision")
+        .when(low.rlike(word(KIND_CUES["request"])), "request")
+        .when(low.rlike(word(KIND_CUES["task"])), "task")
         .when(is_quote if quoted is None else (quoted | is_quote), "quote")
-        .when(low.rlike(word("is|means|defined as|consists of")), "fact")
+        .when(low.rlike(word(KIND_CUES["fact"])), "fact")
         .otherwise("statement")
     )
 
@@ -35,17 +35,17 @@ def chunk_kind(text: Column, quoted: Column | None = None) -> Column:
 def artifact_type(text: Column, types: Column | None = None) -> Column:
     """code, table, json_object, document_section or null, by block types and by shape."""
     has = lambda t: F.array_contains(types, t) if types is not None else F.lit(False)
-    table = text.contains("|") | text.rlike(r"(?i)(?<![a-z0-9_])[a-z0-9_]+\s*,\s*[a-z0-9_]+\s*,\s*[a-z0-9_]+")
-    jsonish = F.trim(text).rlike(r"^[\[{]") | text.rlike(r'"[^"\\]{1,40}"\s*:')
-    section = text.rlike(r"(?i)^(?:#{1,6}\s+)?(?:chapter|section|part|appendix)(?![a-z0-9_])") | F.trim(text).rlike(r"^[A-Z0-9][A-Z0-9\s:._\-/]{6,90}\z")
+    table = text.contains("|") | text.rlike(TABLE_SHAPE)
+    jsonish = F.trim(text).rlike(JSON_SHAPES[0]) | text.rlike(JSON_SHAPES[1])
+    section = text.rlike(SECTION_SHAPES[0]) | F.trim(text).rlike(SECTION_SHAPES[1])
     return F.when(has("code"), "code").when(has("table") | table, "table").when(has("json") | jsonish, "json_object").when(has("section") | section, "document_section")
 
 
 def artifact_label(text: Column, kind: Column) -> Column:
     """A declared name, the first keys, a heading, else leading words."""
-    name = F.regexp_extract(text, r"(?<![A-Za-z0-9_])(?:function|class|interface|type|const|let|var|export\s+function|export\s+class)\s+([A-Za-z_][A-Za-z0-9_]*)", 1)
-    keys = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r'"([^"\\]{1,40})"\s*:'), F.lit(1)), 1, 4), " ")
-    heading = normalize_space(F.regexp_extract(text, r"(?i)^(?:#{1,6}\s+)?((?:chapter|section|part|appendix)\s+[A-Za-z0-9._:-]+[^.!?\n]{0,80})", 1))
+    name = F.regexp_extract(text, DECLARATION, 1)
+    keys = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(JSON_KEY), F.lit(1)), 1, 4), " ")
+    heading = normalize_space(F.regexp_extract(text, HEADING, 1))
     words = F.when(kind == "table", leading_words(text, 10)).otherwise(leading_words(text, 12))
     default = F.when(words != "", words).otherwise(F.substring(normalize_space(text), 1, 80))
     return F.when(kind.isNull(), F.lit(None)).when((kind == "code") & (name != ""), name).when((kind == "json_object") & (keys != ""), keys).when((kind == "document_section") & (heading != ""), heading).otherwise(default)
@@ -53,7 +53,7 @@ def artifact_label(text: Column, kind: Column) -> Column:
 
 def is_cue(text: Column) -> Column:
     """Words that open a new thought; ``next,`` only before a word character."""
-    return F.lower(text).rlike(r"(?<![a-z0-9_])(?:(?:however|therefore|in summary|finally|next step|conclusion)(?![a-z0-9_])|next,(?=[a-z0-9_]))")
+    return F.lower(text).rlike(CUE)
 
 
 def is_complete(text: Column) -> Column:

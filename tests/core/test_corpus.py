@@ -36,6 +36,20 @@ def test_textpack_round_trip_with_deltas(spark):
     assert textpack.common_suffix("abcabc", "abc", 3) == 0
 
 
+def test_textpack_chains_of_edits_come_back_however_they_are_dealt(spark, monkeypatch):
+    words = [f"w{i:03d}" for i in range(40)]
+    texts = [" ".join([*words[: 30 + i % 9], f"edit{i}", *words[20:]]) for i in range(150)]
+    rows = spark.createDataFrame([(f"c{i:03d}", "s", i, t) for i, t in enumerate(texts)], "chunk_id string, session_id string, seq_in_session int, text string")
+    monkeypatch.setattr(textpack, "EPOCH", 40)
+    kept = []
+    for parts in (1, 5):
+        bundle = textpack.encode(rows.repartition(parts), "session_id", "seq_in_session")
+        assert textpack.validate(bundle, rows).count() == 0
+        kept.append(sorted((r["record"], r["base_record"]) for r in bundle["records"].collect()))
+    assert kept[0] == kept[1] and sum(b is not None for _, b in kept[0]) > 100
+    assert all(b is None or (n - 1) // 40 == (b - 1) // 40 for n, b in kept[0])
+
+
 def test_degrees_count_both_ends(spark):
     e = spark.createDataFrame([("concept_1", "concept_2", "related_to", 0.5), ("concept_1", "x/chunk_1", "mentioned_in", 0.5)], "src string, dst string, type string, weight double")
     concepts = spark.createDataFrame([("concept_1", "a"), ("concept_2", "b"), ("concept_3", "c")], "concept_id string, label string")

@@ -1,5 +1,8 @@
+import json
+
 from pyspark.sql import functions as F
 
+from quillmesh.sources import conversations as V
 from quillmesh.sources import json_flatten as J
 from quillmesh.sources import normalize as N
 from quillmesh.sources import readers, sinks
@@ -75,3 +78,52 @@ def test_parts_and_shards(spark, tmp_path):
     sinks.write_archive(str(tmp_path / "in"), str(tmp_path / "1.zip"))
     sinks.write_archive(str(tmp_path / "in"), str(tmp_path / "2.zip"))
     assert (tmp_path / "1.zip").read_bytes() == (tmp_path / "2.zip").read_bytes()
+
+
+EXPORT = {
+    "title": "T",
+    "current_node": "c",
+    "mapping": {
+        "a": {"parent": None, "message": None, "children": ["b"]},
+        "b": {"parent": "a", "message": {"author": {"role": "user"}, "content": {"parts": ["hi", "hi ", " x", {"text": "deep"}]}}, "children": ["c", "d"]},
+        "c": {"parent": "b", "message": {"author": {"role": "assistant", "name": "Bo"}, "content": "yes", "create_time": 9}},
+        "d": {"parent": "b", "message": {"author": {"role": "assistant"}, "content": "no", "create_time": 3}},
+    },
+}
+
+
+def test_json_becomes_transcripts_or_lines(spark):
+    fragment = '"messages": [{"role":"user","content":"a"},{"role":"assistant","content":"b"}'
+    timed = '{"conversation":{"messages":[{"role":"user","content":"a","create_time":5},{"role":"assistant","content":"b","create_time":1}],"title":"Q"}}'
+    cases = {
+        json.dumps(EXPORT): "# Conversation: T\n\nUser: hi\nx\ndeep\n\nAssistant (Bo): yes",
+        json.dumps([{"role": "user", "content": "q"}, {"text": "r"}]): "# Conversation: Conversation 1\n\nUser: q\n\nSpeaker: r",
+        json.dumps({"conversations": [{"name": "N", "messages": [{"role": "user", "parts": ["p"]}]}, {"messages": []}, {"topic": "Z", "messages": [{"role": "tool", "text": 4}]}]}): "# Conversation: N\n\nUser: p\n\n# Conversation: Z\n\nTool: 4",
+        fragment: "# Conversation: Conversation 1\n\nUser: a\n\nAssistant: b",
+        timed: "# Conversation: Q\n\nAssistant: b\n\nUser: a",
+        json.dumps({"title": "Only", "id": 3, "x": {"body": "z"}}): "title: Only\nx.body: z",
+        "plain  words": "plain words",
+        "{}": "",
+        "": "",
+        None: "",
+    }
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(cases)], "id long, raw string, text string")
+    got = {r["id"]: r["text"] for r in V.json_texts(rows, "id", "raw").collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    assert V.json_texts(rows.limit(0), "id", "raw").count() == 0
+
+
+def test_mappings_without_a_current_node_go_by_time_or_depth():
+    nodes = EXPORT["mapping"]
+    assert V.node_order(nodes, "c") == ["b", "c"] and V.node_order(nodes, "gone") == ["d", "c", "a", "b"]
+    untimed = {k: {**v, "message": None} for k, v in nodes.items()}
+    assert V.node_order(untimed, None) == ["a", "b", "c", "d"]
+    loop = {"p": {"parent": "q", "children": ["q"]}, "q": {"parent": "p", "children": ["p"]}}
+    assert V.node_order(loop, "p") == ["p", "q"]
+    assert V.to_time("2024-01-02T00:00:00Z") == 1704153600000 and V.to_time("7") == 7 and V.to_time("soon") is None and V.to_time(True) is None
+
+
+def test_compact_paths(spark):
+    paths = {"$.title": "title", "$[0].title": "title", "a.mapping.x.message.author.role": "message.author.role", "messages[3].content.parts[0]": "message.content", "a.b.c.body": "b.c.body", "id": "", "conversations[2].name": ""}
+    assert col(spark, J.compact_path, *paths) == list(paths.values())
+    assert col(spark, J.title_path, "title", "a.b.title", "$[1].name", "x.message.title", "messages[0].name") == ["$", "a.b", "$[1]", None, None]
