@@ -42,3 +42,18 @@ class Table:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
+
+
+class Scratch:
+    """Intermediate tables that are deleted together when nothing reads them any more."""
+
+    def __init__(self):
+        self.tables: list[Table] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(Table(df, name))
+        return self.tables[-1].df
+
+    def drop(self) -> None:
+        while self.tables:
+            self.tables.pop().drop()
