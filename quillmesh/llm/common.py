@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import Table, materialize, shared_dir  # noqa: F401
+from ..functions.tables import Scratch, Table, materialize, shared_dir  # noqa: F401
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD_GAP_CHARS = " \t\n\x0b\x0c\r"

@@ -12,11 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, hot_join
+from .common import Scratch, Table, hot_join
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Rows (node, root) of all ends of the edges (a, b); root is the component's smallest node."""
+def components(edges: DataFrame, rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
+    """Rows (node, root) of all ends of the edges (a, b); root is the component's smallest node.
+
+    The result is a table that the caller's ``scratch``, if there is one, deletes.
+    """
     links = Table(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     both = links.df.select("a", "b").union(links.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
     state = Table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root"), "roots")
@@ -39,4 +42,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     links.drop()
+    if scratch is not None:
+        scratch.tables.append(state)
     return state.df

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, hot_join, joined, materialize, mix, pieces, shingle_hashes, span_hashes, texts_in, word_bounds
+from .common import Scratch, hot_join, joined, materialize, mix, pieces, shingle_hashes, span_hashes, texts_in, word_bounds
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -173,12 +173,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, per_task: int = 4096) -> DataF
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, block: int = 512) -> DataFrame:
     """doc_id, class_id (the smallest id of its class), class_size, kept (one document of each class)."""
-    made: list[Table] = []
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        made.append(Table(df, name))
-        return made[-1].df
-
+    stored = Scratch()
     signed = stored(_signed(docs, text, key), "signed")
     digest = ["digest", "digest2", "weight"]
     full = signed.where("weight > 0")
@@ -195,19 +190,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     pairs = stored(shared.where("a <> b").select("a", "b").distinct(), "pairs")
     judged = stored(_compared(pairs, texts), "judged")
     links = judged.where(F.col("j") >= threshold).select("a", "b")
-    roots = components(links)
+    roots = components(links, scratch=stored)
     open_ = stored(_open(shared, roots), "open-bands")
-    found = stored(_linked_inside(open_, texts, threshold, block).distinct(), "inside-bands")
+    found = stored(_linked_inside(open_, texts, threshold, block, stored).distinct(), "inside-bands")
     if found.limit(1).count():
-        roots = components(links.union(found))
+        roots = components(links.union(found), scratch=stored)
     classes = (
         member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
         .union(signed.where("weight = 0").select("doc_id", F.col("doc_id").alias("class_id")).distinct())
         .groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     )
     classes = materialize(classes, "classes")
-    for table in made:
-        table.drop()
+    stored.drop()
     sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return hot_join(classes, sizes, ["class_id"], ["doc_id"], classes.count()).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
@@ -274,7 +268,7 @@ def forest(ids: np.ndarray, roots: np.ndarray, side: np.ndarray, sig: np.ndarray
     return out
 
 
-def _linked_inside(open_: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+def _linked_inside(open_: DataFrame, texts: DataFrame, threshold: float, block: int, stored: Scratch) -> DataFrame:
     """Pairs (a, b) that join components inside the open bands.
 
     A band of more than ``block`` texts is dealt into blocks, and every two blocks meet in a
@@ -291,7 +285,7 @@ def _linked_inside(open_: DataFrame, texts: DataFrame, threshold: float, block:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(whole, pa.binary())], schema=described)
 
     wanted = open_.select(F.col("b").alias("id")).distinct()
-    about = materialize(texts.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(describe, "b long, sig binary, own binary, strips binary"), "described")
+    about = stored(texts.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(describe, "b long, sig binary, own binary, strips binary"), "described")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     dealt = open_.withColumn("mine", F.pmod(F.xxhash64("b", "band"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("k"), "mine", "b", "root").join(about, "b")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
-from .common import Table, materialize, n_words_of
+from .common import Scratch, Table, materialize, n_words_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BINS = 1024
@@ -57,13 +57,13 @@ def with_sources(rows: DataFrame, sources: DataFrame, few: bool, *spread: str) -
 # ---------------------------------------------------------------- targets
 
 
-def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: int, stored: Scratch) -> DataFrame:
     """Adds target to (part, source, total): ``share`` of all sizes by weight, no source above ``most`` times its size.
 
     The unit of weight that is left for the open sources is found by turns with the sources
     that it fills; every turn is one aggregate.
     """
-    ranked = materialize(numbered(sources.withColumn("last", F.col("source").isNull()), "rank", "last", "source"), "mix-ranked")
+    ranked = stored(numbered(sources.withColumn("last", F.col("source").isNull()), "rank", "last", "source"), "mix-ranked")
     weight = F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))).cast("int"))
     ranked = ranked.withColumn("weight", weight).drop("last", "rank")
     full = ranked.agg(F.sum("total").alias("n")).first()["n"] or 0
@@ -88,7 +88,7 @@ def _rate(most: int) -> Column:
     return F.when(F.col("lam") >= 700.0, F.lit(float(most))).otherwise(F.lit(float(most)) / (F.lit(1.0) + F.exp(-(F.lit(bias) + F.col("lam") * F.col("size") / F.col("mean")))))
 
 
-def multipliers(counts: DataFrame, sources: DataFrame, few: bool, most: int, tolerance: float = 1e-7, rounds: int = 60) -> DataFrame:
+def multipliers(counts: DataFrame, sources: DataFrame, few: bool, most: int, stored: Scratch, tolerance: float = 1e-7, rounds: int = 60) -> DataFrame:
     """Adds the dual optimum ``lam`` to the sources, by Newton steps kept inside a shrinking bracket."""
     capped = F.col("target") >= F.col("total") * most
     state = sources.withColumn("moving", (F.col("target") > 0) & ~capped).withColumn("lam", F.when(capped & (F.col("total") > 0), 1000.0).otherwise(0.0))
@@ -112,13 +112,14 @@ def multipliers(counts: DataFrame, sources: DataFrame, few: bool, most: int, tol
         after = Table(step.select(*state.df.columns).unionByName(state.df.where("not moving")), "mix-state")
         state.drop()
         state = after
+    stored.tables.append(state)
     return state.df.drop("moving", "low", "high", "low_known", "high_known")
 
 
 # ---------------------------------------------------------------- whole copies
 
 
-def shifts(rated: DataFrame, sources: DataFrame, few: bool, most: int) -> DataFrame:
+def shifts(rated: DataFrame, sources: DataFrame, few: bool, most: int, stored: Scratch) -> DataFrame:
     """(part, shift): the shift of the uniform numbers whose whole copies come nearest to the source's target.
 
     Copy number k of a document is taken from shift k - rate - u on; the sums of sizes by
@@ -126,7 +127,7 @@ def shifts(rated: DataFrame, sources: DataFrame, few: bool, most: int) -> DataFr
     """
     start, width = -float(most) - 1.0, 2.0 * most + 2.0
     state = sources.where((F.col("target") > 0) & (F.col("target") < F.col("total") * most)).select("part", "target", F.lit(start).alias("start"), F.lit(0).cast("long").alias("below"), F.lit(start).alias("shift"))
-    state = materialize(state, "mix-shifts")
+    state = stored(state, "mix-shifts")
     at = F.explode(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: k - F.col("rate") - F.col("u")))
     events = rated.where("size > 0").select("part", "key", "mark", "size", at.alias("at"))
     for _ in range(3):
@@ -146,7 +147,7 @@ def shifts(rated: DataFrame, sources: DataFrame, few: bool, most: int) -> DataFr
             F.when(F.col("x").isNull(), F.col("below") + F.coalesce("whole", F.lit(0))).otherwise(total).cast("long").alias("below"),
             F.when(F.col("x").isNull(), F.col("start") + width).otherwise(F.col("start") + near * step).alias("shift"),
         )
-        state, width = materialize(found, "mix-shifts"), step
+        state, width = stored(found, "mix-shifts"), step
     return state.select("part", "shift")
 
 
@@ -171,13 +172,15 @@ class Plan:
 
 def solve(base: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, max_sent: int = MAX_SENT) -> Plan:
     """The plan for rows of key, source, part, size and mark (a written table: it is read once per iteration)."""
-    counts = materialize(base.groupBy("part", "source", "size").agg(F.count("*").alias("n")), "mix-counts")
-    sources = materialize(counts.groupBy("part", "source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("docs")), "mix-sources")
+    stored = Scratch()
+    counts = stored(base.groupBy("part", "source", "size").agg(F.count("*").alias("n")), "mix-counts")
+    sources = stored(counts.groupBy("part", "source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("docs")), "mix-sources")
     few = sources.limit(max_sent + 1).count() <= max_sent
-    sized = targets(sources, weights, share, most).withColumn("mean", F.greatest(F.col("total") / F.col("docs"), F.lit(1e-9)))
-    solved = multipliers(counts.where("size > 0").drop("source"), sized, few, most)
-    rated = materialize(Plan(solved, few, most).rated(base).select("key", "mark", "part", "size", "u", "rate"), "mix-rated")
-    known = materialize(solved.join(shifts(rated, solved, few, most), "part", "left"), "mix-plan")
+    sized = targets(sources, weights, share, most, stored).withColumn("mean", F.greatest(F.col("total") / F.col("docs"), F.lit(1e-9)))
+    solved = multipliers(counts.where("size > 0").drop("source"), sized, few, most, stored)
+    rated = stored(Plan(solved, few, most).rated(base).select("key", "mark", "part", "size", "u", "rate"), "mix-rated")
+    known = materialize(solved.join(shifts(rated, solved, few, most, stored), "part", "left"), "mix-plan")
+    stored.drop()
     return Plan(known, few, most)
 
 

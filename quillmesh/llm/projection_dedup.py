@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, hot_join, materialize
+from .common import Scratch, hot_join, materialize
 from .components import components
 
 COSINE = 0.93
@@ -122,10 +122,11 @@ def near_duplicates(vectors: DataFrame, embedding: str = "embedding", label: str
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{embedding}`").cast("array<double>").alias("e"))
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(e, lambda v: v != 0)
     able = F.coalesce(F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite, F.lit(False))
-    rows = materialize(rows.select("vec_id", "label", F.when(able, e).alias("e")), "vectors")
+    stored = Scratch()
+    rows = stored(rows.select("vec_id", "label", F.when(able, e).alias("e")), "vectors")
     good = rows.where("e is not null")
     groups = good.groupBy("label", "e").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("dim", F.size("e"))
-    groups = materialize(groups.withColumn("rep", F.monotonically_increasing_id()), "vector-groups")
+    groups = stored(groups.withColumn("rep", F.monotonically_increasing_id()), "vector-groups")
 
     counts = groups.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     dealt = groups.join(counts, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -151,14 +152,16 @@ def near_duplicates(vectors: DataFrame, embedding: str = "embedding", label: str
         root = _forest(len(e), p[a], q[b])
         return pd.DataFrame({"rep": reps, "links": n, "root": reps[root]})
 
-    found = Table(sent.groupBy("label", "dim", "i", "j").applyInPandas(run, "rep long, links long, root long").where("links > 0"), "vector-links").df
+    found = stored(sent.groupBy("label", "dim", "i", "j").applyInPandas(run, "rep long, links long, root long").where("links > 0"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    roots = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch=stored)
     known = groups.join(links, "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     known = known.select("label", "e", "rep", "low", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    known = materialize(known, "vector-roots")
+    known = stored(known, "vector-roots")
     names = known.groupBy("root").agg(F.min("low").alias("component_id"))
     known = hot_join(known, names, ["root"], ["rep"], known.count()).select("label", "e", "n_links", "component_id")
     linked_rows = hot_join(good, known, ["label", "e"], ["vec_id"], good.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked_rows.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    every = materialize(linked_rows.union(alone), "vector-components")
+    stored.drop()
+    return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -15,6 +15,7 @@ from quillmesh.llm import mixing as M
 from quillmesh.llm import projection_dedup as E
 from quillmesh.llm import quality_crf as Q
 from quillmesh.llm import toxicity_subword as X
+from quillmesh.llm.common import Scratch, hot_join
 from quillmesh.llm.components import components
 
 
@@ -155,7 +156,7 @@ def test_near_duplicates_equal_brute_force(spark):
         texts += [texts[-1]] * 2
     texts.append("loop here again " * 40)
     texts.append("loop here again " * 41)
-    table = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, band string")
+    table = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, band string").withColumn("a", F.lit(1)).withColumn("_part", F.lit("p"))
     got = {r["doc_id"]: r for r in D.near_duplicates(table).collect()}
     want = plain_classes(texts)
     assert {i: r["class_id"] for i, r in got.items()} == dict(enumerate(want))
@@ -165,6 +166,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert D.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_hot_joins_keep_every_row(spark):
+    many = spark.range(3000).select(F.when(F.col("id") < 1800, 7).when(F.col("id") < 1810, F.lit(None)).otherwise(F.col("id") % 60).alias("k"), F.lit("z").alias("w"), F.col("id").alias("x"))
+    one = spark.range(40).select(F.col("id").alias("k"), F.lit("z").alias("w"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        got, want = hot_join(many, one, ["k", "w"], ["x"], 3000, how), many.join(one, ["k", "w"], how)
+        assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert hot_join(many.limit(0), one, ["k", "w"], ["x"], 0).count() == 0
+
+
+def test_pairs_of_a_text_with_many_partners_are_compared_exactly(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(999)}" for _ in range(60)]
+    texts = [" ".join(base[: 60 - k % 20] + [f"n{k}"] * (k % 7)) for k in range(50)]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 50)] + [(3, 4)], "a long, b long")
+    bags = [np.sort(D.strips(np.sort(D.shingles([t])[0]))) for t in texts]
+    for per_task in (4096, 7):
+        got = {(r["a"], r["b"]): r["j"] for r in D._compared(pairs, table, per_task).collect()}
+        assert got == {(a, b): D.similarity(bags[a], bags[b]) for a, b in [*((0, k) for k in range(1, 50)), (3, 4)]}
+
+
 def test_signatures_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
@@ -194,7 +216,7 @@ def test_embeddings_equal_brute_force(spark):
         v = base[i % 12] + rng.normal(size=16) * 0.25 * (i % 3)
         rows.append((i, [float(x) for x in v], int(i % 2)))
     rows += [(1000, rows[0][1], 0), (1001, rows[0][1], 0), (1002, [2 * x for x in rows[0][1]], 0), (1003, None, 0), (1004, [0.0] * 16, 0), (1005, rows[0][1], None), (1006, [float("nan")] + rows[0][1][1:], 0), (1007, rows[0][1][:5], 0), (1008, [], 0), (1009, [None] + rows[0][1][1:], 0)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("root", F.lit("x")).withColumn("rep", F.lit("y")).withColumn("_part", F.lit(1))
     good = [(i, np.array(v), y) for i, v, y in rows if i < 1003 or i == 1007]
     links = {i: set() for i, _, _ in rows}
     for i, v, y in good:
@@ -248,7 +270,7 @@ def plain_targets(sizes, share=1.5, most=2.0):
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 0, None: 10}, {}, {"é": 5, "z": 1000, "Z": 3, None: 700, "": 80}, {f"s{i}": i * i for i in range(40)}, {"a": 0}])
 def test_targets(spark, sizes):
     rows = spark.createDataFrame([("" if s is None else "=" + s, s, n) for s, n in sizes.items()], "part string, source string, total long")
-    got = {r["source"]: r["target"] for r in M.targets(rows, M.WEIGHTS, 1.5, 2).collect()}
+    got = {r["source"]: r["target"] for r in M.targets(rows, M.WEIGHTS, 1.5, 2, Scratch()).collect()}
     want = plain_targets(sizes)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 * max(1, want[k]) for k in want)
 

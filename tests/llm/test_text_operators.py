@@ -139,6 +139,7 @@ def test_contexts_find_what_no_base_pattern_knows(spark):
     texts = [f"{filler()} member number {4000 + i}0000{i % 7}ab{rng.getrandbits(128):032x} was {filler()}" for i in range(30)]
     texts += [f"{filler()} member number K-77{i} was {filler()}" for i in range(3)] + [f"{filler()} room 1234 {filler()}", "", None]
     table = docs(spark, texts)
+    table = table.withColumn("spans", F.lit(1)).withColumn("pattern", F.lit("x")).withColumn("digest", F.lit("y"))
     patterns = P.learn(table)
     assert patterns.get("member number _") == "secret"
     got = {r["doc_id"]: r for r in P.find(table, patterns).collect()}
@@ -281,6 +282,7 @@ def test_pieces_tile_documents_and_sequences(spark):
     vocab = ["hello", "World,", "it's", "naïve", "x" * 30, "日本", "don't!!", "a b", "q\x1cr", "1234", "(x)", "ÉCOLE."]
     texts = [None, "", " "] + [" ".join(rng.choice(vocab) for _ in range(rng.choice([1, 5, 60, 900, 9000]))) for _ in range(60)]
     table = docs(spark, texts).repartition(3)
+    table = table.withColumn("length", F.lit("x")).withColumn("offset", F.lit(-1)).withColumn("ids", F.lit(2))
     rows = [r.asDict() for r in K.pack(table, tokenizer_path(), group_tokens=30_000).collect()]
     tok = Tokenizer.from_file(tokenizer_path())
     by_doc, by_sequence = {}, {}
