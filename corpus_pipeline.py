@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's documents. All but the last return the columns of
 documents. Stages work on everything their predecessor kept.
+
+Defined results: null and empty texts fail the quality rules and go; rows without an id and rows
+that share one are documents of their own if their texts differ, and copies of a text are one
+group whatever their ids; of a group the smallest id stays, rows without an id last, ties by a
+hash of all columns; repeated rows are copies; very long texts are whole in every stage; an
+empty table gives empty stages; columns beside those of documents are not read.
 """
 
 from __future__ import annotations
