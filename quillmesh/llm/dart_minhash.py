@@ -140,19 +140,19 @@ def _signed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, digest long, digest2 long, weight long, bands array<long>")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, per_task: int = 4096) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, per_task: int = 512) -> DataFrame:
     """The pairs (a, b) with their exact similarity j, from the whole texts (id, t).
 
     A text a is sent once, ahead of the texts it is compared with; a text with many partners
     is sent once to each of the parts that these are dealt into.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(per_task)).cast("int").alias("parts"))
-    named = texts.select("id", "t")
-    heads = parts.join(named, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "t")
+    heads = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
     total = pairs.count()
-    dealt = hot_join(pairs, parts, ["a"], ["b"], total).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    rows = hot_join(dealt, named.select(F.col("id").alias("b"), "t"), ["b"], ["a"], total).select("a", "part", "b", "t")
-    rows = heads.union(rows).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    dealt = hot_join(pairs, parts, ["a"], ["b"], total).select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    # Heads and partners get their texts in one join, so the texts are dealt by id once.
+    rows = hot_join(heads.union(dealt), texts.select("id", "t"), ["id"], ["a", "part"], 2 * total).select("a", "part", "b", "t")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("j", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     shared = stored(hot_join(banded, first, ["band"], ["rep"], BANDS * reps.count()).select("band", "a", F.col("rep").alias("b")), "shared-bands")
     wanted = shared.select(F.col("b").alias("id")).distinct()
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).join(wanted, "id", "left_semi")
-    texts = stored(texts.groupBy("id").agg(F.min("t").alias("t")), "near-texts")
+    if signed.groupBy("doc_id").count().where("count > 1").limit(1).count():  # else texts need no dealing by id
+        texts = texts.groupBy("id").agg(F.min("t").alias("t"))
+    texts = stored(texts, "near-texts")
 
     pairs = stored(shared.where("a <> b").select("a", "b").distinct(), "pairs")
     judged = stored(_compared(pairs, texts), "judged")
