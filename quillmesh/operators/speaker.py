@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CANONICAL_NAMES, ROLE_ALIASES, ROLE_ORDER
-from ..functions.text import normalize_space, round_to, trim_space
+from ..functions.text import SPACE, normalize_space, round_to, trim_space
 
 #: Metadata patterns with their confidence; the last needs one of three words in the text.
 _NAME = r'"?([A-Za-z][A-Za-z0-9_\- ]{0,30})"?'
@@ -57,7 +57,7 @@ def _speaker(label: Column, role: Column, source: str, confidence: Column) -> Co
 
 def block_speaker(text: Column, kind: Column) -> Column:
     """struct(label, role, source, confidence): an opening label, else the first metadata pattern."""
-    first = F.get(F.filter(F.transform(F.split(text, r"\r?\n"), trim_space), lambda x: x != ""), F.lit(0))
+    first = trim_space(F.regexp_extract(text, rf"^{SPACE}*([^\n]*)", 1))
     label = F.trim(F.regexp_extract(first, EXPLICIT, 1))
     role = role_of(label)
     out = F.when((kind != "code") & (label != "") & role.isNotNull(), _speaker(label, role, "explicit_label", explicit_confidence(label, role)))
@@ -71,7 +71,8 @@ def block_speaker(text: Column, kind: Column) -> Column:
     meta_role = role_of(name)
     n = normalize_speaker(name)
     confidence = F.when(_among(n, meta_role, CANONICAL_NAMES), base).when(_among(n, meta_role, ROLE_ALIASES), F.least(base, F.lit(0.9))).otherwise(base)
-    out = out.when(meta_role.isNotNull(), _speaker(name, meta_role, "metadata_pattern", confidence))
+    # All patterns hold the word role; few texts do, and the others need no search.
+    out = out.when(F.lower(text).contains("role") & meta_role.isNotNull(), _speaker(name, meta_role, "metadata_pattern", confidence))
     return out.otherwise(_speaker(F.lit(None).cast("string"), F.lit("unknown"), "unknown", F.lit(0.0)))
 
 
