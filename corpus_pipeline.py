@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import dart_minhash, mixing, packing, pii_bootstrap, rule_ledger
-from quillmesh.llm.common import materialize
+from quillmesh.llm.common import materialize, without
 from quillmesh.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = materialize(classes.join(rows.select("_row", "_tie", "doc_id"), "_row"), "class-members")
     best = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie", "_row"))["_row"].alias("_row"))
     dropped = members.join(best.select("_row"), "_row", "left_anti").select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
+    return without(rows, "_row", dropped, "dropped").select(*COLUMNS)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,50 @@ def test_near_duplicates_equal_brute_force(spark):
     assert D.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_bands_whose_pairs_are_all_judged_are_not_opened(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(5):  # pairs of similarity 0.72: they share bands, and aren't linked
+        base = [word() for _ in range(122)]
+        texts.append(" ".join(base))
+        for k in (20, 50, 80, 100):
+            base[k] = word()
+        texts.append(" ".join(base))
+    opened, inside = [], D._linked_inside
+
+    def seen(open_, *rest):
+        opened.append(open_.count())
+        return inside(open_, *rest)
+
+    monkeypatch.setattr(D, "_linked_inside", seen)
+    got = D.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == list(enumerate(plain_classes(texts)))
+    assert opened == [0]
+
+
+def test_bits_tell_rows_without_moving_them(spark):
+    from quillmesh.llm import common
+
+    rows = spark.range(0, 80000, 1, 3).select(F.col("id").alias("k"), F.monotonically_increasing_id().alias("_row"))
+    rows = spark.createDataFrame(rows.toPandas())
+    gone = rows.where("k % 7 = 3 or k in (0, 79999)").select("_row")
+    want = {r["_row"] for r in rows.collect()} - {r["_row"] for r in gone.collect()}
+    for most in (common.MOST_BITMAPS, 0):  # broadcast, and by shuffle
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "MOST_BITMAPS", most)
+            got = [r["_row"] for r in common.without(rows, "_row", gone, "gone").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert common.without(rows, "_row", gone.limit(0), "gone").count() == 80000
+    stored = Scratch()
+    ids = spark.createDataFrame([(-5,), (3,), (2**62,)], "id long")
+    many = rows.select(F.col("k").alias("id")).union(ids)
+    kept = [r["id"] for r in common.sieved(many, "id", ids, stored).collect()]
+    assert kept.count(3) == 2 and {-5, 2**62} <= set(kept) and len(kept) < 200
+    assert common.sieved(many, "id", ids.limit(0), stored).count() == 0
+    stored.drop()
+
+
 def test_hot_joins_keep_every_row(spark):
     many = spark.range(3000).select(F.when(F.col("id") < 1800, 7).when(F.col("id") < 1810, F.lit(None)).otherwise(F.col("id") % 60).alias("k"), F.lit("z").alias("w"), F.col("id").alias("x"))
     one = spark.range(40).select(F.col("id").alias("k"), F.lit("z").alias("w"), (F.col("id") * 2).alias("v"))
@@ -363,6 +407,20 @@ def test_near_dedup_keeps_different_texts_under_null_and_repeated_ids(spark):
     assert sorted((i, t or "") for i, t in got if i not in (None, 7)) == [(3, ""), (3, ""), (8, copied)]
 
 
+def test_near_dedup_does_not_deal_texts_to_drop_rows(spark):
+    import corpus_pipeline as C
+
+    rows = [(i, f"some few words number {i // 2} here", "en", "s", 30) for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = C.near_dedup(spark, table, "")
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in out.collect()) == list(range(0, 20, 2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_span_hashes_do_not_depend_on_blocks():
     from quillmesh.llm.common import joined, span_hashes, word_bounds
 
